@@ -214,6 +214,14 @@ class Labeller:
         return out
 
 
+def labeller_of(model: Model, switch: float) -> Labeller:
+    """One for all tasks of a worker process, as long as it holds the model."""
+    known = model.__dict__.setdefault("labellers", {})
+    if switch not in known:
+        known[switch] = Labeller(model, switch)
+    return known[switch]
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH) -> DataFrame:
     """Add lang_pred and score to ``docs``; both replace columns of those names.
 
@@ -223,7 +231,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        labeller = Labeller(shared.value, switch)
+        labeller = labeller_of(shared.value, switch)
 
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             found = labeller.predict(texts(batch, text))

@@ -162,6 +162,12 @@ class Model:
     ordinary: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
+    def scorer(self) -> Scorer:
+        """One for all tasks of a worker process."""
+        if "_scorer" not in self.__dict__:
+            self._scorer = Scorer(Trie(self.words, self.ordinary))
+        return self._scorer
+
     def score(self, features: list[float]) -> float:
         return float(1 / (1 + np.exp(-(self.weights[0] + np.dot(self.weights[1:], features)))))
 
@@ -259,7 +265,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def make():
         m = shared.value
-        scorer = Scorer(Trie(m.words, m.ordinary))
+        scorer = m.scorer()
 
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             s = [m.score(scorer.features(x)) for x in texts(batch, text)]
