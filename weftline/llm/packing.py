@@ -13,7 +13,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from pyspark.sql import types as T
 from .common import materialise, prepare, raw
 
 CAPACITY = 4096
-#: Words whose ids a task keeps.  Words beyond it are tokenised each time they occur.
-WORD_CACHE = 300_000
+#: Words whose ids a worker process keeps, about 150 bytes each.  Words beyond it are tokenised each time they occur.
+WORD_CACHE = 700_000
 #: Parts that the pieces of one length are ranked in.
 SALTS = 256
 
@@ -41,23 +40,43 @@ PIECES = T.StructType(
 
 
 class WordIds(dict):
-    """UTF-8 word -> ids.  The tokenizer drops white space and never joins across it, so ASCII white space may split a
-    text first; the tests compare this with the tokenizer on whole texts."""
+    """UTF-8 word -> its ids, as unsigned little-endian 32-bit numbers.
+
+    The tokenizer drops white space and never joins across it, so ASCII white space may split a text first; it lower-cases,
+    and never joins a letter or digit to a full stop or comma, so ASCII words are looked up without these.  The tests
+    compare this with the tokenizer on whole texts.
+    """
 
     def __init__(self, path: str, size: int = WORD_CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), size
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+    def __missing__(self, word: bytes) -> bytes:
+        plain = word.lower() if word.isascii() else word
+        if plain != word:
+            ids = self[plain]
+        elif word[-1:] in b".," and word[:-1].isalnum():  # bytes: ASCII letters and digits only
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.room:
             self.room -= 1
             self[word] = ids
         return ids
 
     def of(self, text: bytes) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), dtype="<u4")
+
+
+_words: dict[str, WordIds] = {}
+
+
+def words_of(path: str) -> WordIds:
+    """One table for all tasks of a worker process."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -65,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     prepare(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = words_of(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw(batch, "text"), strict=True):
