@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ GRAMS = 100_000
 SWITCH = 12.0
 #: What a language loses by a word in a script that it is not written in.
 OTHER_SCRIPT = 30.0
-#: Words whose scores a task keeps between batches.
-WORD_CACHE = 200_000
+#: Words whose scores a worker process keeps between batches.
+WORD_CACHE = 400_000
+#: Words, padding included, of texts that step through Viterbi together.
+STEPPED = 200_000
 UND = "und"
 
 #: First and last code point of the ranges of scripts.
@@ -43,14 +46,19 @@ SCRIPTS = (
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def script_of(word: str) -> str:
-    c = ord(word[0])
+@lru_cache(maxsize=1 << 16)
+def script_of_letter(letter: str) -> str:
+    c = ord(letter)
     return next((name for name, a, b in SCRIPTS if a <= c <= b), "other")
 
 
+def script_of(word: str) -> str:
+    return script_of_letter(word[0])
+
+
 def grams_of(word: str) -> list[str]:
     w = f"^{word}$"
-    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] or [w]
+    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
 
 
 @dataclass
@@ -62,14 +70,29 @@ class Model:
     #: Scripts of each language.
     scripts: list[set[str]]
 
-    def word(self, word: str) -> np.ndarray:
-        g = self.grams
-        s = self.logp[[g.get(x, -1) for x in grams_of(word)]].sum(axis=0)
-        here = script_of(word)
-        fits = np.array([here in x for x in self.scripts])
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words, (words, languages), relative to each word's best."""
+        get, ids, first = self.grams.get, [], []
+        unknown = len(self.logp) - 1
+        for w in words:
+            first.append(len(ids))
+            w = f"^{w}$"
+            n = len(w)
+            ids += [get(w[i : i + 2], unknown) for i in range(n - 1)]
+            ids += [get(w[i : i + 3], unknown) for i in range(n - 2)]
+            ids += [get(w[i : i + 4], unknown) for i in range(n - 3)]
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        # A group of words at a time, so that a batch of long words stays small.
+        for at in range(0, len(words), 20_000):
+            lo, hi = first[at], first[at + 20_000] if at + 20_000 < len(words) else len(ids)
+            out[at : at + 20_000] = np.add.reduceat(self.logp[ids[lo:hi]], np.array(first[at : at + 20_000]) - lo, axis=0)
         # Relative scores, so that a long unknown word doesn't outweigh a switch by chance.
-        s = np.maximum(s - s.max(), -OTHER_SCRIPT)
-        return np.where(fits, s, s - OTHER_SCRIPT) if fits.any() else s
+        out = np.maximum(out - out.max(axis=1, keepdims=True), -OTHER_SCRIPT)
+        fits = {s: np.array([s in x for x in self.scripts]) for s in {*(n for n, _, _ in SCRIPTS), "other"}}
+        here = [script_of(w) for w in words]
+        if all(f.all() for f in map(fits.__getitem__, set(here))):
+            return out
+        return np.array([x if f.all() or not f.any() else np.where(f, x, x - OTHER_SCRIPT) for x, f in zip(out, map(fits.__getitem__, here), strict=True)], dtype=np.float32)
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_DOCS, grams: int = GRAMS) -> Model:
@@ -114,8 +137,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = T
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """The best language of each word of each text, from (words, languages) arrays.
 
-    If no stretch of a text gains more than a switch costs over the text's best single language, that one is the best
-    path and is found without stepping.  The other texts step together, the longest first.
+    If no stretch of a text gains more than half of what a switch costs over the text's best single language, that one is
+    the best path: r stretches gain at most r / 2 switches and cost r - 1.  The other texts step together, the longest first.
     """
     out: list[np.ndarray] = [np.zeros(len(s), np.int64) for s in scores]
     hard = []
@@ -125,64 +148,76 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         best = int(s.sum(axis=0).argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
         gain = np.vstack([np.zeros((1, s.shape[1])), gain])
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch:
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch / 2:
             out[i][:] = best
         else:
             hard.append(i)
     hard.sort(key=lambda i: -len(scores[i]))
-    if not hard:
-        return out
-    lengths = np.array([len(scores[i]) for i in hard])
-    n_lang, steps = scores[hard[0]].shape[1], int(lengths[0])
-    value = np.array([scores[i][0] for i in hard], dtype=np.float64)
-    stay, came = [], []
+    at = 0
+    while at < len(hard):
+        # Padding is bounded: the first text of a group is its longest.
+        group = hard[at : at + max(1, STEPPED // len(scores[hard[at]]))]
+        at += len(group)
+        _step(group, scores, switch, out)
+    return out
+
+
+def _step(group: list[int], scores: list[np.ndarray], switch: float, out: list[np.ndarray]) -> None:
+    """Viterbi over texts that step together; ``group`` has the longest first."""
+    lengths = np.array([len(scores[i]) for i in group])
+    steps, n_lang = int(lengths[0]), scores[group[0]].shape[1]
+    spread = np.zeros((steps, len(group), n_lang), dtype=np.float32)
+    for k, i in enumerate(group):
+        spread[: lengths[k], k] = scores[i]
+    alive = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts with more than t words
+    rows = np.arange(len(group))
+    value = spread[0].copy()
+    stay = np.zeros(spread.shape, bool)
+    came = np.zeros(spread.shape[:2], np.int64)
     for t in range(1, steps):
-        n = int(np.searchsorted(-lengths, -t, "left"))  # texts with more than t words
+        n = alive[t]
         v = value[:n]
         top = v.argmax(axis=1)
-        moved = v[np.arange(n), top][:, None] - switch
-        keep = v >= moved
-        stay.append(keep)
-        came.append(top)
-        value[:n] = np.where(keep, v, moved) + np.array([scores[i][t] for i in hard[:n]])
+        moved = (v[rows[:n], top] - switch)[:, None]
+        np.greater_equal(v, moved, out=stay[t, :n])
+        came[t, :n] = top
+        value[:n] = np.maximum(v, moved) + spread[t, :n]
     now = value.argmax(axis=1)
-    rows = np.arange(len(hard))
+    path = np.zeros(spread.shape[:2], np.int64)
     for t in range(steps - 1, -1, -1):
-        n = int(np.searchsorted(-lengths, -t, "left"))
-        for k in range(n):
-            out[hard[k]][t] = now[k]
+        n = alive[t]
+        path[t, :n] = now[:n]
         if t:
-            keep = stay[t - 1][rows[:n], now[:n]]
-            now[:n] = np.where(keep, now[:n], came[t - 1])
-    assert n_lang
-    return out
+            now[:n] = np.where(stay[t, rows[:n], now[:n]], now[:n], came[t, :n])
+    for k, i in enumerate(group):
+        out[i][:] = path[: lengths[k], k]
 
 
 class Labeller:
     """Labels batches of texts; keeps the scores of words it has met."""
 
     def __init__(self, model: Model, switch: float = SWITCH):
-        self.model, self.switch, self.ids, self.rows = model, switch, {}, []
+        self.model, self.switch, self.ids = model, switch, {}
+        self.table = np.zeros((1 << 16, len(model.langs)), dtype=np.float32)
 
-    def _id(self, word: str) -> int:
-        k = self.ids.get(word)
-        if k is None:
-            k = self.ids[word] = len(self.rows)
-            self.rows.append(self.model.word(word))
-        return k
+    def learn(self, words: list[str]) -> None:
+        """Score words that are not known yet, all at once."""
+        at = len(self.ids)
+        while at + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at : at + len(words)] = self.model.words(words)
+        self.ids.update(zip(words, range(at, at + len(words)), strict=True))
 
     def labels(self, batch: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """The words of each text and their languages, as positions in ``model.langs``."""
-        if len(self.rows) > WORD_CACHE:
-            self.ids, self.rows = {}, []
+        if len(self.ids) > WORD_CACHE:
+            self.ids = {}
         words = [WORDS.findall(x.lower()) for x in batch]
-        ids = [np.fromiter(map(self._id, w), np.int64, len(w)) for w in words]
-        table = np.array(self.rows, dtype=np.float32).reshape(-1, len(self.model.langs))
-        out: list[tuple[list[str], np.ndarray]] = []
-        for at in range(0, len(batch), 64):
-            part = viterbi([table[i] for i in ids[at : at + 64]], self.switch)
-            out += list(zip(words[at : at + 64], part, strict=True))
-        return out
+        new = [w for w in set().union(*words) if w not in self.ids]
+        if new:
+            self.learn(new)
+        ids = [np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)) for w in words]
+        return list(zip(words, viterbi([self.table[i] for i in ids], self.switch), strict=True))
 
     def predict(self, batch: list[str]) -> list[tuple[str, float]]:
         """The language of each text, and the share of its letters that are in it."""
@@ -204,7 +239,7 @@ class Labeller:
             return []
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         places = [m.span() for m in WORDS.finditer(low)]
-        table = np.array([self.model.word(low[a:b]) for a, b in places], dtype=np.float32).reshape(-1, len(self.model.langs))
+        table = self.model.words([low[a:b] for a, b in places]) if places else np.zeros((0, len(self.model.langs)), np.float32)
         out: list[tuple[int, int, str]] = []
         for (a, b), k in zip(places, viterbi([table], self.switch)[0], strict=True):
             if out and out[-1][2] == self.model.langs[k]:
