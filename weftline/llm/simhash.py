@@ -14,10 +14,9 @@ fingerprint returns only the links of a spanning forest, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations, repeat
+from itertools import chain, combinations, pairwise, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -134,10 +133,30 @@ def _keys(fps: DataFrame, level: int) -> DataFrame:
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links that connect whatever fingerprints of ``fps`` (fp, distinct) reach each other by 3 bits or fewer."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(pdf["fp"].to_numpy().astype(np.int64).view(np.uint64), int(key[1]))
-        both = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted rows: a block is a run of rows, and may go on in the next batch.
+        held, of = np.zeros(0, np.int64), None
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            out: list[tuple[int, int]] = []
+            if batch is None:
+                groups = [(of, held)] if of else []
+            else:
+                keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("level", "start", "key")], axis=1)
+                fp = batch.column("fp").to_numpy()
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+                groups = [(tuple(keys[a].tolist()), fp[a:b]) for a, b in pairwise(cuts)]
+                if of == groups[0][0]:
+                    groups[0] = (of, np.concatenate([held, groups[0][1]]))
+                elif of:
+                    groups.insert(0, (of, held))
+                of, held = groups.pop()
+            for key, some in groups:
+                if len(some) > 1:
+                    out += block_links(some.view(np.uint64), key[1])
+            both = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     done, level, rows = [], 1, _keys(fps, 1)
     while True:
@@ -155,7 +174,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     all_rows = done[0]
     for more in done[1:]:
         all_rows = all_rows.unionByName(more)
-    return all_rows.groupBy("level", "start", "key").applyInPandas(run, "a long, b long")
+    dealt = all_rows.repartition("level", "start", "key").sortWithinPartitions("level", "start", "key")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
