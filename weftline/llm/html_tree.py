@@ -32,6 +32,10 @@ GAMMA = 0.9
 #: Nodes below this depth belong to the node there.
 DEPTH = 24
 
+#: Hashes of paths, with eight more for each host, up to which the lists of the hosts are broadcast; beyond it, parts that
+#: the pages of a host are dealt to.
+BROADCAST, SALTS = 1_000_000, 32
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*>|</?[a-zA-Z][^>]*>?", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -240,7 +244,7 @@ def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float =
     return low.groupBy("host").agg(F.collect_list("node").alias("low"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD, broadcast: int = BROADCAST) -> DataFrame:
     """Add text and n_chars to ``pages`` (url, html); they replace columns of those names.
 
     A null html is empty and gives the empty text; a null or odd url belongs to the host ''.  Repeated rows get equal
@@ -248,7 +252,16 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THR
     """
     low = unimportant(pages, min_pages, threshold).select(F.col("host").alias("__host"), F.col("low").alias("__low"))
     host = F.lower(F.regexp_extract(F.trim(F.coalesce(col("url").cast("string"), F.lit(""))), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    rows = pages.withColumn("__h", host).join(low, F.col("__h") == F.col("__host"), "left").drop("__h", "__host")
+    low = materialise(low, "unimportant")
+    size = low.agg(F.coalesce(F.sum(F.size("__low") + 8), F.lit(0)).alias("n")).first()["n"]
+    rows = pages.withColumn("__h", host)
+    if size <= broadcast:
+        rows = rows.join(F.broadcast(low), F.col("__h") == F.col("__host"), "left")
+    else:  # a host's pages go to several tasks, each with the host's list
+        salted = low.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__p", F.pmod(F.xxhash64(col("url"), F.length(col("html"))), F.lit(SALTS)).cast("int"))
+        rows = rows.join(salted, (F.col("__h") == F.col("__host")) & (F.col("__p") == F.col("__s")), "left").drop("__p", "__s")
+    rows = rows.drop("__h", "__host")
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
