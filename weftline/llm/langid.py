@@ -30,7 +30,7 @@ SWITCH = 12.0
 #: What a language loses by a word in a script that it is not written in.
 OTHER_SCRIPT = 30.0
 #: Words whose scores a worker process keeps between batches.
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 #: Words, padding included, of texts that step through Viterbi together.
 STEPPED = 200_000
 UND = "und"
