@@ -362,3 +362,26 @@ def test_pipeline(spark, sf):
             assert {r[0] for r in docs.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
     whole(docs.collect(), 4096)
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_line_dedup_of_large_bands_finds_the_components_of_brute_force(spark, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(4, 9)))
+    line = [word() for _ in range(40)]
+    lines = []
+    for _ in range(500):
+        line[rnd.randrange(40)] = word()
+        lines.append(" ".join(line))
+    rnd.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    pairs = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                pairs.append((i, j))
+    want = set(union_find(pairs, range(len(lines))).values())
+    for whole in (line_dedup.WHOLE, 40):  # whole bands, and bands split by further minima
+        monkeypatch.setattr(line_dedup, "WHOLE", whole)
+        assert {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"]} == want
