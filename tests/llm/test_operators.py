@@ -385,3 +385,19 @@ def test_line_dedup_of_large_bands_finds_the_components_of_brute_force(spark, mo
     for whole in (line_dedup.WHOLE, 40):  # whole bands, and bands split by further minima
         monkeypatch.setattr(line_dedup, "WHOLE", whole)
         assert {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"]} == want
+
+
+@pytest.mark.parametrize("words", (3, 4, 6, 8))
+def test_line_dedup_finds_near_copies_of_short_lines(spark, words):
+    rnd = random.Random(words)
+    lines, pairs = [], []
+    while len(pairs) < 300:
+        a = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(4, 9))) for _ in range(words))
+        at = rnd.randrange(len(a))
+        b = rnd.choice((a[:at] + "Z" + a[at + 1 :], a + "s", a + ".", f"{a} {rnd.randrange(100)}")).lower()
+        if jaccard(a, b) >= 0.8:
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [a, b]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"]}
+    assert sum(b not in kept for _, b in pairs) >= 0.99 * len(pairs)
