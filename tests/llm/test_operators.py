@@ -401,3 +401,15 @@ def test_line_dedup_finds_near_copies_of_short_lines(spark, words):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     kept = {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"]}
     assert sum(b not in kept for _, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_secrets_without_digits_and_beyond_base_spans():
+    model = secrets.Markov(secrets.labelled_sample())
+    rnd = random.Random(12)
+    keys = ["".join(rnd.choices(secrets.ALPHABET[:52], k=k)) for k in (16, 20, 32) for _ in range(200)]
+    assert sum((0, 3, len(k)) in secrets.spans(k, model) for k in keys) >= 0.97 * len(keys)
+    key = "Zq8vXw3RtY7u" + "0123456789abcdef" + "kD93hfGq2LmZx81TbVw0"
+    assert secrets.spans(key, model) == [(0, 3, len(key)), (12, 2, 28)]
+    assert [k for _, k, _ in secrets.spans("0123456789abcdef", model)] == [2]
+    ordinary = "internationalization Bundesverfassungsgericht CONSTITUTIONALLY 1234567890123456 2019-03-14-10-22-33 a/path/of/ordinary/words"
+    assert 3 not in [k for _, k, _ in secrets.spans(ordinary, model)]

@@ -1,6 +1,6 @@
 """Operator 8: secrets by three patterns, and by two character Markov models compared.
 
-The patterns give the base spans.  Beyond them, a run of 16 or more characters of secrets is a span of kind ``markov`` if
+The patterns give the base spans.  A run of 16 or more characters of secrets that goes beyond them is a span of kind ``markov`` if
 its log-likelihood ratio per character, under a model of random strings against one of ordinary identifiers, passes a
 threshold.  Both are bigram models, trained from labelled samples: strings labelled 1 (random) or 0 (ordinary).
 """
@@ -38,6 +38,15 @@ PARTS = (
     "und der die das ist mit von ein les des une pour dans avec que los las del con para por una como mente cion tion heit"
 ).split()
 
+#: Ordinary words of other letter pairs, and rows of letters in order.
+WORDS = (
+    "abcdefghijklmnopqrstuvwxyz donaudampf schifffahrt gesellschaft verfassung gericht wirtschaft zwischen geschwindigkeit begrenzung "
+    "krzysztof przedsiebiorstwo szczegolowy wszystkich przyklad knowledge sovereignty mechanism psychology rhythm wizard jquery workflow "
+    "government development independent neighbourhood subsequently approximately characteristic international responsible equivalent "
+    "aujourd hui beaucoup quelque toujours economique developpement desarrollo universidad trabajo siempre mayor quando questo anche "
+    "perche gli degli sviluppo scheidung pflicht sprache kraftfahrzeug fuenf gezellig verzekering maatschappij ontwikkeling"
+).split()
+
 
 def labelled_sample(n: int = 4000, seed: int = 8) -> list[tuple[str, int]]:
     """Built-in labelled strings: random ones over the alphabets that keys use, ordinary ones from parts of identifiers."""
@@ -56,6 +65,11 @@ def labelled_sample(n: int = 4000, seed: int = 8) -> list[tuple[str, int]]:
             word = f"{word}{rnd.choice(('', '-', '_', '='))}{rnd.randint(0, 2030)}"
         out.append((word, 0))
     out += [(rnd.choice("=-_/+") * 32, 0) for _ in range(n // 40)]
+    for k in range(n // 2):
+        out.append(("".join(rnd.choices(ALPHABET[:52], k=rnd.randint(16, 48))), 1))
+        parts = [rnd.choice(WORDS) for _ in range(rnd.randint(2, 3))]
+        word = ("", "", "_", "-", "/")[k % 5].join(parts)
+        out.append((word.upper() if k % 4 == 0 else word.capitalize() if k % 4 == 1 else word, 0))
     out += [(str(rnd.randint(10**15, 10**19)), 0) for _ in range(n // 10)]
     return out
 
@@ -90,11 +104,12 @@ def spans(text: str, model: Markov, threshold: float = THRESHOLD) -> list[tuple[
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for a, _, b in out)
     for m in RUN.finditer(text):
-        run = m[0]
-        # Letters of one case alone, or digits alone, are words and numbers here.
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or any(a < m.end() and m.start() < b for a, b in base):
-            continue
-        if model.score(run) >= threshold:
+        # A run that the base spans cover is listed already; one that goes beyond them is judged whole.
+        at = m.start()
+        for a, b in base:
+            if a <= at < b:
+                at = b
+        if at < m.end() and model.score(m[0]) >= threshold:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 
