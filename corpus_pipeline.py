@@ -45,7 +45,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("simhash", near), ("mixing", mix), ("packing", pack)]
 
-#: SQL can't express the language model, the union-find nor the packing; tests/llm compare each stage with brute force.
+#: SQL can't express the language model, the union-find nor the packing.  tests/llm check the operators one by one on small
+#: fixtures, and of the stages together only columns, ids, gapless packing and counts of rows, not rows against brute force.
 ORACLE_SQL = None
 
 
