@@ -382,7 +382,7 @@ def test_line_dedup_of_large_bands_finds_the_components_of_brute_force(spark, mo
             if both >= 0.8 * (len(a) + len(sets[j]) - both):
                 pairs.append((i, j))
     want = set(union_find(pairs, range(len(lines))).values())
-    for whole in (line_dedup.WHOLE, 40):  # whole bands, and bands split by further minima
+    for whole in (line_dedup.WHOLE, 10):  # whole bands, and bands split by further minima
         monkeypatch.setattr(line_dedup, "WHOLE", whole)
         assert {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"]} == want
 
