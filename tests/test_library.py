@@ -140,7 +140,7 @@ def test_state_commits_once(spark, tmp_path):
     assert s.commit({"t": spark.range(5)}, v1) == 2 and (s.read("t").count(), s.read("t", 1).count(), s.read("d").count()) == (5, 3, 1)
     with pytest.raises(state.Conflict):
         s.commit({"t": spark.range(9)}, 1)
-    assert len(s.vacuum({1})) == 0 and len(s.vacuum(set())) == 1 and s.read("t").count() == 5
+    assert len(s.vacuum({1}, 0)) == 0 and s.vacuum(set()) == [] and len(s.vacuum(set(), 0)) == 1 and s.read("t").count() == 5
     assert files.relation_size(spark, f"file://{tmp_path}/state") > 0 and files.relation_size(spark, f"file://{tmp_path}/none") == 0
 
 
@@ -209,3 +209,44 @@ def test_contract():
         (("operations",), {"batch_size": 0}),
     ]:
         bad(path, value)
+
+
+def test_activation_leaves_other_entities_alone(spark):
+    rev = spark.createDataFrame([(1, "a", "active"), (1, "b", "active")], "configuration_id long, entity string, state string")
+    rev = revisions.stage(rev, 2, ["a", "c"]).withColumn("retired_at", F.lit(None).cast("timestamp"))
+    assert {(r[0], r[1], r[2]) for r in rev.select("configuration_id", "entity", "state").collect()} == {(1, "a", "active"), (1, "b", "active"), (2, "a", "staging"), (2, "c", "active")}
+    rev = rev.where("entity <> 'c'")
+    rows = [(1, "a", "pending", None, "t", "x"), (1, "b", "pending", None, "t", "x"), (1, "a", "superseded", "pending", None, None), (0, "b", "superseded", "failed", None, None)]
+    tasks = spark.createDataFrame(rows, "configuration_id long, entity string, status string, superseded_from_status string, lease_token string, d string")
+    tasks = tasks.withColumn("execution_deadline", F.when(F.col("d").isNotNull(), F.lit(datetime(2024, 1, 2)))).drop("d")
+    after, jobs = revisions.activate(rev, tasks, 2, F.lit(datetime(2024, 1, 1)))
+    assert {(r["configuration_id"], r["entity"], r["state"], r["retired_execution_until"]) for r in after.collect()} == {(1, "a", "retired", datetime(2024, 1, 2)), (1, "b", "active", None), (2, "a", "active", None)}
+    got = sorted((r["configuration_id"], r["entity"], r["status"], r["superseded_from_status"], r["lease_token"]) for r in jobs.where("status <> 'superseded' or superseded_from_status = 'failed' or lease_token is null").collect() if r["superseded_from_status"] != "superseded")
+    assert got == [(0, "b", "superseded", "failed", None), (1, "a", "superseded", "pending", None), (1, "b", "pending", None, "t")]
+    with pytest.raises(revisions.Refused):
+        revisions.activate(rev, tasks.withColumn("configuration_id", F.lit(2)), 2, F.lit(datetime(2024, 1, 1)))
+    with pytest.raises(revisions.Refused):
+        revisions.cancel(rev, tasks, 1, F.lit(datetime(2024, 1, 1)))
+    gone, _ = revisions.cancel(rev, tasks, 2, F.lit(datetime(2024, 1, 1)))
+    assert gone.where("configuration_id = 2").select("state").collect() == [("retired",)]
+
+
+def test_work_past_its_deadline_and_of_others_is_discarded(spark):
+    now, past, later = datetime(2024, 1, 1), datetime(2023, 12, 31), datetime(2024, 1, 2)
+    rows = [(1, "t", "processing", later, later), (2, "t", "processing", later, past), (3, "u", "processing", later, later), (4, None, "done", None, None)]
+    cols = "id long, lease_token string, status string, lease_until timestamp, execution_deadline timestamp"
+    more = {"live": True, "token": "t", "generation": 2, "seen_generation": 2, "seen_fingerprint": "f", "fingerprint": "f", "stored_fingerprint": "g", "has_vector": True, "processed_generation": 1, "attempts": 1, "retry_generation": 2, "aborted": False, "code": "x", "retryable": False, "delay_ms": 0}
+    w = spark.createDataFrame(rows, cols).select("*", *[F.lit(v).alias(k) for k, v in more.items()], *[F.lit(None).cast("timestamp").alias(c) for c in ("requested_at", "next_attempt_at", "completed_at")], *[F.lit(None).cast("string").alias(c) for c in ("last_error", "error_code")])
+    assert {r["id"]: r["outcome"] for r in queue.finalize(w, F.lit(now)).collect()} == {1: "upsert", 2: "discard", 3: "discard", 4: "discard"}
+    assert {r["id"]: (r["outcome"], r["new_status"]) for r in queue.fail(w, F.lit(now), 3).collect()} == {1: ("task_failed", "failed"), 2: ("task_failed", "failed"), 3: ("task_discarded", "processing"), 4: ("task_discarded", "done")}
+
+
+def test_a_late_change_does_not_overwrite_a_later_one(spark, tmp_path):
+    for k, row in enumerate([("a", "delete", 10), ("a", "upsert", 5)]):
+        spark.createDataFrame([row], "source_id string, operation string, seq long").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+    seen = []
+    for k in range(2):
+        spark.read.parquet(f"{tmp_path}/in{k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        log = changes.change_log(spark, f"{tmp_path}/log", "source_id string, operation string, seq long", 1)
+        changes.drain(changes.pending_tasks(log), f"{tmp_path}/c", lambda df, _: seen.extend((r["generation"], r["operation"]) for r in df.collect()))
+    assert seen == [(1, "delete"), (2, "delete")]

@@ -46,13 +46,20 @@ def render(template: str) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """JSON text of a string; control characters have lower-case hex digits."""
-    out = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"')
-    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    """JSON text of a string; control characters have lower-case hex digits.
+
+    The usual signs are written by five replacements; the other control characters are rare, and only texts that hold one
+    are gone through for them.
+    """
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {"\n": "\\n", "\t": "\\t", "\r": "\\r"}
+    for c, said in short.items():
+        out = F.replace(out, F.lit(c), F.lit(said))
+    rare = out
     for code in range(32):
-        c = chr(code)
-        out = F.replace(out, F.lit(c), F.lit(short.get(c, f"\\u{code:04x}")))
-    return out_quoted(out)
+        if (c := chr(code)) not in short:
+            rare = F.replace(rare, F.lit(c), F.lit({"\b": "\\b", "\f": "\\f"}.get(c, f"\\u{code:04x}")))
+    return out_quoted(F.when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), rare).otherwise(out))
 
 
 def out_quoted(body: Column) -> Column:

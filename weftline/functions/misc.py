@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The keys that an event may carry.
 CONTEXT_KEYS = (
-    "service", "event", "entity", "revision", "task", "generation", "attempt", "operation", "code", "status", "duration_ms", "count",
+    "service", "entity", "configuration_id", "task_id", "generation", "consumer", "error_code", "provider_status", "status", "reason", "phase", "count",
 )
 #: Factors of byte units.
 UNITS = {"B": 1, "kB": 1000, "KiB": 1024, "MB": 1000**2, "MiB": 1024**2, "GB": 1000**3, "GiB": 1024**3}

@@ -17,8 +17,39 @@ def tokens(text: Column) -> Column:
 
 def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, df, cf) of a corpus."""
-    per = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    return per.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    # A document's tokens meet in its own row: what is new in it counts for df, every one for cf, and only tokens shuffle.
+    t = docs.select(tokens(F.col(text)).alias("t")).select("t", F.array_distinct("t").alias("d"))
+    once = t.select(F.explode("d").alias("token"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
+    every = t.select(F.explode("t").alias("token"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
+    return once.unionByName(every).groupBy("token").agg(F.sum("df").cast("long").alias("df"), F.sum("cf").cast("long").alias("cf"))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, key, tf, length): the inverted index.  Written in ranges of token, a query reads only its own tokens."""
+    t = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
+    # Equal tokens are neighbours once sorted, so a run's length is a difference of places and no token shuffles.
+    runs = F.array_sort("t")
+    ends = F.filter(F.transform(runs, lambda x, i: F.when((i + 1 == F.size(runs)) | (F.get(runs, i + 1) != x), F.struct(x.alias("token"), (i + 1).alias("upto")))), lambda x: x.isNotNull())
+    t = t.select(key, "length", ends.alias("e"))
+    tf = F.transform("e", lambda x, i: F.struct(x["token"].alias("token"), (x["upto"] - F.when(i == 0, 0).otherwise(F.get("e", i - 1)["upto"])).alias("tf")))
+    return t.select(key, "length", F.explode(tf).alias("p")).select("p.token", key, "p.tf", "length")
+
+
+def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(N, L): how many documents there are, and their mean length; one row, kept beside the index."""
+    return docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("L"))
+
+
+def bm25_of(index: DataFrame, corpus: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """(key, score) of documents that hold any term, from ``postings`` and ``lengths``."""
+    asked = F.create_map(*[x for t in dict.fromkeys(terms) for x in (F.lit(t), F.lit(terms.count(t)))])
+    hits = index.where(F.col("token").isin(*dict.fromkeys(terms)))
+    # One row for each term of the query, and one of the corpus.
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rows = hits.join(F.broadcast(df), "token").join(F.broadcast(corpus))
+    f, d = F.col("tf"), F.col("df")
+    part = F.log(1 + (F.col("N") - d + 0.5) / (d + 0.5)) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("length") / F.col("L")))
+    return rows.groupBy(key).agg(F.sum(part * asked[F.col("token")]).alias("score"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], keep: Column | None = None) -> DataFrame:

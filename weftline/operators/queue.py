@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 KEY = ["configuration_id", "entity", "source_id"]
 ORIGINS = ("trigger", "polling", "backfill", "manual")
 LIVE = ("active", "staging")
+LEASE = ("lease_token", "lease_until", "execution_deadline")
 
 
 def eligible(rows: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -94,21 +95,26 @@ def claim(tasks: DataFrame, revisions: DataFrame, now: Column, n: int, token: st
 
 def renew(tasks: DataFrame, token: str, now: Column, lease_s: int = 60) -> DataFrame:
     """Leases that this token holds and that haven't run out, moved on, at most to the deadline."""
-    held = (F.col("lease_token") == token) & (F.col("status") == "processing") & (F.col("lease_until") > now) & (F.col("execution_deadline") > now)
-    return tasks.where(held).withColumn("lease_until", F.least(F.col("execution_deadline"), now + F.make_dt_interval(secs=F.lit(lease_s))))
+    until = F.least(F.col("execution_deadline"), now + F.make_dt_interval(secs=F.lit(lease_s)))
+    return tasks.where(held(F.lit(token), now)).withColumn("lease_until", until)
+
+
+def held(token: Column, now: Column) -> Column:
+    """Whether a task is processed under this token, within its lease and its deadline."""
+    owned = (F.col("lease_token") == token) & (F.col("status") == "processing") & (F.col("lease_until") > now) & (F.col("execution_deadline") > now)
+    return F.coalesce(owned, F.lit(False))
 
 
 def finalize(work: DataFrame, now: Column) -> DataFrame:
-    """The outcome of each finished work, first match wins.
+    """The outcome of each finished work, first match wins, and the task after it.
 
     ``work``: task columns, live (boolean), token, seen_generation, seen_fingerprint, fingerprint (null if the source is
-    gone), stored_fingerprint, has_vector.
+    gone), stored_fingerprint, has_vector.  A discarded work leaves the task as it is.
     """
-    owned = F.coalesce((F.col("lease_token") == F.col("token")) & (F.col("status") == "processing") & (F.col("lease_until") > now), F.lit(False))
     moved = (F.col("generation") != F.col("seen_generation")) | ~F.col("fingerprint").eqNullSafe(F.col("seen_fingerprint"))
     outcome = (
         F.when(~F.coalesce("live", F.lit(False)), "discard")
-        .when(~owned, "discard")
+        .when(~held(F.col("token"), now), "discard")
         .when(moved, "requeue")
         .when(F.col("fingerprint").isNull(), "delete")
         .when(F.col("has_vector"), "upsert")
@@ -116,28 +122,55 @@ def finalize(work: DataFrame, now: Column) -> DataFrame:
         .otherwise("unchanged")
     )
     rows = work.withColumn("outcome", outcome)
-    done = F.col("outcome").isin("delete", "upsert", "unchanged")
-    again = F.col("outcome") == "requeue"
+    done, again, same = F.col("outcome").isin("delete", "upsert", "unchanged"), F.col("outcome") == "requeue", F.col("outcome") == "discard"
     return rows.select(
         "id", "outcome",
         F.when(done, "done").when(again, "pending").otherwise(F.col("status")).alias("new_status"),
         F.when(done, F.col("generation")).otherwise(F.col("processed_generation")).alias("new_processed"),
         F.when(again, F.lit(0)).otherwise(F.col("attempts")).cast("long").alias("new_attempts"),
-        F.when(done, now).alias("completed_at"),
+        F.when(again, F.col("generation")).otherwise(F.col("retry_generation")).alias("retry_generation"),
+        F.when(again, now).otherwise(F.col("requested_at")).alias("requested_at"),
+        F.when(again, now).otherwise(F.col("next_attempt_at")).alias("next_attempt_at"),
+        F.when(done, now).otherwise(F.col("completed_at")).alias("completed_at"),
+        F.when(~done, F.col("last_error")).alias("last_error"), F.when(~done, F.col("error_code")).alias("error_code"),
+        *[F.when(same, F.col(c)).alias(c) for c in LEASE],
     )
 
 
 def fail(work: DataFrame, now: Column, limit: int) -> DataFrame:
-    """Transitions of failed work: task columns, seen_generation, aborted, code, retryable, delay_ms."""
+    """Failed work and the task after it: task columns, token, seen_generation, aborted, code, retryable, delay_ms.
+
+    Only the owner of a task in process changes it; another's work is discarded and leaves the task as it is.
+    """
+    owned = F.coalesce((F.col("lease_token") == F.col("token")) & (F.col("status") == "processing"), F.lit(False))
     moved, aborted = F.col("generation") != F.col("seen_generation"), F.col("aborted")
-    retry = moved | aborted | (F.col("retryable") & (F.col("attempts") < limit))
-    return work.select(
-        "id",
-        F.when(retry, "pending").otherwise(F.lit("failed")).alias("new_status"),
-        F.when(moved, F.lit(0)).otherwise(F.col("attempts")).cast("long").alias("new_attempts"),
-        F.when(moved | aborted, now).otherwise(now + F.make_dt_interval(secs=(F.col("delay_ms") / 1000).cast("decimal(18,6)"))).alias("next_attempt_at"),
-        F.when(aborted, F.lit("execution_interrupted")).otherwise(F.col("code")).alias("error_code"),
-    )
+    retry = F.col("retryable") & (F.col("attempts") < limit)
+    after = F.when(moved | aborted | retry, "pending").otherwise(F.lit("failed"))
+    at = F.when(moved | aborted, now).otherwise(now + F.make_dt_interval(secs=(F.col("delay_ms") / 1000).cast("decimal(18,6)")))
+    code = F.when(aborted, F.lit("execution_interrupted")).otherwise(F.col("code"))
+    outcome = F.when(~owned, "task_discarded").when(after == "failed", "task_failed").when(retry, "task_retry_scheduled").otherwise("task_requeued")
+    rows = work.select("*", owned.alias("owned"), outcome.alias("outcome"))
+    mine = F.col("owned")
+    return rows.select(
+        "id", "outcome",
+        F.when(mine, after).otherwise(F.col("status")).alias("new_status"),
+        F.when(mine & moved, F.lit(0)).otherwise(F.col("attempts")).cast("long").alias("new_attempts"),
+        F.when(mine, F.col("generation")).otherwise(F.col("retry_generation")).alias("retry_generation"),
+        F.when(mine, at).otherwise(F.col("next_attempt_at")).alias("next_attempt_at"),
+        F.when(mine, now).otherwise(F.col("requested_at")).alias("requested_at"),
+        F.when(mine, code).otherwise(F.col("error_code")).alias("error_code"),
+        *[F.when(~mine, F.col(c)).alias(c) for c in LEASE],
+    )
+
+
+def unchanged(work: DataFrame) -> DataFrame:
+    """Claimed work that needs no vector (T07): the source is there and its fingerprint is the stored one."""
+    return work.where(F.col("fingerprint").isNotNull() & F.col("fingerprint").eqNullSafe(F.col("stored_fingerprint")))
+
+
+def to_embed(work: DataFrame) -> DataFrame:
+    """Claimed work that needs a vector: the source is there and its fingerprint is not the stored one."""
+    return work.where(F.col("fingerprint").isNotNull() & ~F.col("fingerprint").eqNullSafe(F.col("stored_fingerprint")))
 
 
 def reprocess(tasks: DataFrame, revision: int, entity: str, now: Column, source_id: str | None = None) -> DataFrame:

@@ -109,12 +109,16 @@ def input_checks(spark, sf):
     return fx.read(spark, sf, "documents").where(ok).select("doc_id", "lang", "source")
 
 
-@query("select event_id, event_type, value from events where event_type in ('click', 'error') and value > 0")
+@query("""select event_id, event_type, value, 'configuration_id=' || user_id || ',count=' || floor(value)::bigint || case when event_type = 'error' then ',error_code=e' else '' end || ',service=app' as context
+  from events where event_type in ('click', 'error') and floor(value) > 0""")
 def allowed_events(spark, sf):
-    """Allow-listed projection, dropped scopes, no empty events."""
-    context = F.create_map(F.lit("event"), F.col("event_type"), F.lit("count"), F.col("value").cast("string"), F.lit("secret"), F.col("props"))
-    rows = fx.read(spark, sf, "events").select("event_id", "value", misc.allowed(context).alias("c"))
-    return rows.where(F.col("c")["event"].isin("click", "error") & F.col("c")["secret"].isNull() & (F.col("value") > 0)).select("event_id", F.col("c")["event"].alias("event_type"), "value")
+    """Allow-listed context, dropped kinds, no empty events."""
+    n = F.floor("value")
+    said = {"service": F.lit("app"), "configuration_id": F.col("user_id"), "count": n, "error_code": F.when(F.col("event_type") == "error", "e"), "revision": F.lit("r"), "event": F.col("event_type"), "secret": F.col("props")}
+    context = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v.cast("string"))])
+    rows = fx.read(spark, sf, "events").where(F.col("event_type").isin("click", "error") & (n > 0)).select("event_id", "event_type", "value", misc.allowed(context).alias("c"))
+    order = F.array_sort(F.map_entries("c"))
+    return rows.select("event_id", "event_type", "value", F.array_join(F.transform(order, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("context"))
 
 
 # --- scans -----------------------------------------------------------------------------------------------------------
@@ -203,12 +207,12 @@ def dependency_fanout(spark, sf):
     return capture.fan_out(changes, fx.read(spark, sf, "customer"), "c_custkey", "c_nationkey")
 
 
-@query("select count(*) as rows_changed from embeddings where false")
+@query("select vec_id as doc_id, case when vec_id % 4 = 1 then 'delete' else 'upsert' end as operation from embeddings where vec_id % 4 in (1, 2)")
 def vector_only_update(spark, sf):
-    """Another vector is no change of content."""
-    old = fx.read(spark, sf, "embeddings")
-    new = old.withColumn("embedding", F.reverse("embedding"))
-    return capture.diff(old, new, "vec_id", ["label"]).agg(F.count(F.lit(1)).alias("rows_changed"))
+    """Another vector is no change of content; another label is, and so is a row that goes."""
+    old = fx.read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    new = old.where("doc_id % 4 <> 1").withColumn("embedding", F.reverse("embedding")).withColumn("label", F.when(F.col("doc_id") % 4 == 2, F.col("label") + 1).otherwise(F.col("label")))
+    return capture.diff(old, new, "doc_id", ["label"])
 
 
 @query("select (count(*) - count(doc_id))::bigint as null_keys, (count(*) - count(distinct doc_id))::bigint as repeats from documents")
@@ -255,6 +259,7 @@ def burst_positions(spark, sf):
     return queue.burst_positions(fx.requests(spark, sf)).select("source_id", "seq", "position", "coalesced")
 
 
+_AT = "timestamp '2024-01-29 12:00:00'"
 _CLAIM = f"((status = 'pending' and next_attempt_at <= {NOW}) or (status = 'processing' and lease_until < {NOW})) and {_LIVE}"
 
 
@@ -270,10 +275,12 @@ def claim_batch(spark, sf):
     return queue.claim(fx.tasks(spark, sf), fx.revisions(spark, sf), fx.now(), 10, "token")
 
 
-@query(f"select id, least({NOW} + interval 300 second, {NOW} + interval 60 second) as lease_until from tasks where lease_token = 't1' and lease_until > timestamp '2024-01-01'", fx.TASKS)
+@query(f"select id, least(execution_deadline, {_AT} + interval 60 second) as lease_until from tasks where lease_token = 't' || id and status = 'processing' and lease_until > {_AT} and execution_deadline > {_AT}", fx.TASKS)
 def lease_renewal(spark, sf):
-    t = fx.tasks(spark, sf).withColumn("execution_deadline", fx.now() + F.make_dt_interval(secs=F.lit(300))).withColumn("lease_until", F.when(F.col("lease_until") > F.lit("2024-01-01").cast("timestamp_ntz"), fx.now() + F.make_dt_interval(secs=F.lit(1))))
-    return queue.renew(t, "t1", fx.now()).select("id", "lease_until")
+    """Every processing task asks, each with its own token; only leases and deadlines that are not past move on."""
+    at = F.lit(_AT[11:-1]).cast("timestamp_ntz")
+    t = fx.tasks(spark, sf).where(F.col("lease_token") == F.concat(F.lit("t"), F.col("id").cast("string"))).withColumn("lease_token", F.lit("mine"))
+    return queue.renew(t, "mine", at).select("id", "lease_until")
 
 
 _WORK = f"""w as (select *, {_LIVE} as live, 't' || (id - case when id % 11 = 0 then 1 else 0 end) as token, generation - case when id % 13 = 0 then 1 else 0 end as seen_generation,
@@ -290,24 +297,36 @@ def _work(spark, sf):
     )
 
 
-_AT = "timestamp '2024-01-29 12:00:00'"
+_DONE = "outcome in ('delete', 'upsert', 'unchanged')"
 
 
-@query(f"""select id, outcome, case when outcome in ('delete', 'upsert', 'unchanged') then 'done' when outcome = 'requeue' then 'pending' else status end as new_status,
-  case when outcome in ('delete', 'upsert', 'unchanged') then generation else processed_generation end as new_processed, case when outcome = 'requeue' then 0 else attempts end as new_attempts,
-  case when outcome in ('delete', 'upsert', 'unchanged') then {_AT} end as completed_at from (select *, case when not live then 'discard'
-  when not coalesce(lease_token = token and status = 'processing' and lease_until > {_AT}, false) then 'discard' when generation <> seen_generation or fingerprint is distinct from seen_fingerprint then 'requeue'
+@query(f"""select id, outcome, case when {_DONE} then 'done' when outcome = 'requeue' then 'pending' else status end as new_status,
+  case when {_DONE} then generation else processed_generation end as new_processed, case when outcome = 'requeue' then 0 else attempts end as new_attempts,
+  case when outcome = 'requeue' then generation else retry_generation end as retry_generation, case when outcome = 'requeue' then {_AT} else requested_at end as requested_at,
+  case when outcome = 'requeue' then {_AT} else next_attempt_at end as next_attempt_at, case when {_DONE} then {_AT} else completed_at end as completed_at,
+  case when not {_DONE} then last_error end as last_error, case when not {_DONE} then error_code end as error_code,
+  case when outcome = 'discard' then lease_token end as lease_token, case when outcome = 'discard' then lease_until end as lease_until, case when outcome = 'discard' then execution_deadline end as execution_deadline
+  from (select *, case when not live then 'discard'
+  when lease_token is distinct from token or status <> 'processing' or lease_until is null or lease_until <= {_AT} or execution_deadline is null or execution_deadline <= {_AT} then 'discard'
+  when generation <> seen_generation or fingerprint is distinct from seen_fingerprint then 'requeue'
   when fingerprint is null then 'delete' when has_vector then 'upsert' when stored_fingerprint is distinct from fingerprint then 'requeue' else 'unchanged' end as outcome from w)""", fx.TASKS, fx.REVISIONS, _WORK)
 def finalize_outcomes(spark, sf):
-    return queue.finalize(_work(spark, sf), F.lit("2024-01-29 12:00:00").cast("timestamp_ntz"))
+    return queue.finalize(_work(spark, sf), F.lit(_AT[11:-1]).cast("timestamp_ntz"))
 
 
-@query(f"""select id, case when m or a or (r and attempts < 3) then 'pending' else 'failed' end as new_status, case when m then 0 else attempts end as new_attempts,
-  case when m or a then {NOW} else {NOW} + to_milliseconds(id * 10) end as next_attempt_at, case when a then 'execution_interrupted' else 'provider_transient' end as error_code
-  from (select id, attempts, id % 13 = 0 as m, id % 9 = 0 as a, id % 2 = 0 as r from tasks)""", fx.TASKS)
+@query(f"""select id, case when not o then 'task_discarded' when not (m or a or r) then 'task_failed' when r then 'task_retry_scheduled' else 'task_requeued' end as outcome,
+  case when not o then status when m or a or r then 'pending' else 'failed' end as new_status, case when o and m then 0 else attempts end as new_attempts,
+  case when o then generation else retry_generation end as retry_generation, case when not o then next_attempt_at when m or a then {NOW} else {NOW} + to_milliseconds(id * 10) end as next_attempt_at,
+  case when o then {NOW} else requested_at end as requested_at, case when not o then error_code when a then 'execution_interrupted' else 'provider_transient' end as error_code,
+  case when not o then lease_token end as lease_token, case when not o then lease_until end as lease_until, case when not o then execution_deadline end as execution_deadline
+  from (select *, id % 13 = 0 as m, id % 9 = 0 as a, id % 2 = 0 and attempts < 3 as r, status = 'processing' and id % 11 <> 0 as o from tasks)""", fx.TASKS)
 def failure_transitions(spark, sf):
+    """Every task's work fails; only that of the owner counts."""
     i = F.col("id")
-    w = fx.tasks(spark, sf).select("id", "attempts", "generation", (F.col("generation") - F.when(i % 13 == 0, 1).otherwise(0)).alias("seen_generation"), (i % 9 == 0).alias("aborted"), F.lit("provider_transient").alias("code"), (i % 2 == 0).alias("retryable"), (i * 10).alias("delay_ms"))
+    w = fx.tasks(spark, sf).withColumns({
+        "token": F.concat(F.lit("t"), (i - F.when(i % 11 == 0, 1).otherwise(0)).cast("string")), "seen_generation": F.col("generation") - F.when(i % 13 == 0, 1).otherwise(0),
+        "aborted": i % 9 == 0, "code": F.lit("provider_transient"), "retryable": i % 2 == 0, "delay_ms": i * 10,
+    })
     return queue.fail(w, fx.now(), 3)
 
 
@@ -324,10 +343,9 @@ def legacy_fold(spark, sf):
     return queue.legacy_fold(rows)
 
 
-@query("select r.configuration_id, r.entity, r.source_id, r.operation from requests r where r.seq % 50 = 0 and not exists (select 1 from tasks t where t.status <> 'done' and t.configuration_id = r.configuration_id and t.entity = r.entity and t.source_id = r.source_id)", fx.REQUESTS, fx.TASKS)
+@query("select r.configuration_id, r.entity, r.source_id, r.operation from requests r where not exists (select 1 from tasks t where t.status <> 'done' and t.configuration_id = r.configuration_id and t.entity = r.entity and t.source_id = r.source_id)", fx.REQUESTS, fx.TASKS)
 def enqueue_recoverable(spark, sf):
-    rows = fx.requests(spark, sf).where("seq % 50 = 0").select(*queue.KEY, "operation")
-    return polling.recoverable(rows, fx.tasks(spark, sf), queue.KEY)
+    return polling.recoverable(fx.requests(spark, sf).select(*queue.KEY, "operation"), fx.tasks(spark, sf), queue.KEY)
 
 
 _NEW = "n as (select vec_id, label + 100 as label from embeddings where vec_id % 3 = 0 union all select vec_id + 1000000, label from embeddings where vec_id % 4 = 0)"
@@ -388,23 +406,94 @@ def configured_entities(spark, sf):
     return revisions.entities_of(_configurations(spark, sf))
 
 
-@query("select configuration_id, entity, retired_at, row_number() over (partition by entity order by retired_at desc nulls first, configuration_id desc) as position from revisions where state = 'retired'", fx.REVISIONS)
+@query("select configuration_id, entity, retired_at, row_number() over (partition by entity order by retired_at desc nulls first, configuration_id desc) as position from revisions where state = 'retired' and cleaned_at is null", fx.REVISIONS)
 def retired_positions(spark, sf):
     return retention.retired_positions(fx.revisions(spark, sf)).select("configuration_id", "entity", "retired_at", "position")
 
 
-@query("""select p.configuration_id, p.entity, p.destination from (select *, row_number() over (partition by entity order by retired_at desc nulls first, configuration_id desc) as position from revisions where state = 'retired') p
-  where position > 0 and retired_at <= timestamp '2024-01-20' and (select count(*) from revisions r where r.destination = p.destination) = 1 order by configuration_id limit 5""", fx.REVISIONS)
+_GONE = """g as (select p.configuration_id, p.entity, p.destination from (select *, row_number() over (partition by entity order by retired_at desc nulls first, configuration_id desc) as position
+    from revisions where state = 'retired' and cleaned_at is null) p
+  where position > {keep} and retired_at <= timestamp '2024-01-25' and coalesce(retired_execution_until <= {now}, true)
+  and not exists (select 1 from revisions r where r.state = 'retired' and r.cleaned_at is null and r.destination = p.destination and (r.configuration_id <> p.configuration_id or r.entity <> p.entity))
+  and not exists (select 1 from revisions r where r.state in ('active', 'staging') and (p.destination in (r.destination, r.source_table) or list_contains(r.dependency_tables, p.destination))))"""
+
+
+@query("select * from g", fx.REVISIONS, _GONE.format(keep=0, now=NOW))
 def retired_destinations(spark, sf):
-    return retention.destinations(fx.revisions(spark, sf), 0, F.lit("2024-01-20").cast("timestamp_ntz"), 5).select("configuration_id", "entity", "destination")
+    """Of the retired revisions one is shared, one is a live one's source, one may still execute."""
+    return retention.destinations(fx.revisions(spark, sf), 0, F.lit("2024-01-25").cast("timestamp_ntz"), fx.now(), 100).select("configuration_id", "entity", "destination")
+
+
+_PASS = {"completed_seconds": 12_600, "retired_seconds": 475_200, "reader_grace_seconds": 0, "audit_seconds": 1_814_400, "keep_retired": 0, "batch_size": 25, "drop_retired_destinations": True}
+_OLD = f"{NOW} - interval 12600 second"
+
+
+def _cleanup(spark, sf):
+    actions = fx.read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return retention.cleanup(fx.tasks(spark, sf), fx.revisions(spark, sf), actions, _PASS, fx.now())
+
+
+_PASSED = (
+    fx.TASKS, fx.REVISIONS, _GONE.format(keep=0, now=NOW),
+    f"c1 as (select id from tasks where status = 'done' and processed_generation = generation and completed_at <= {_OLD} and lease_token is null and lease_until is null and execution_deadline is null order by completed_at, id limit 25)",
+    "c2 as (select t.id from tasks t join revisions r using (configuration_id, entity) where r.state = 'retired' and (r.cleaned_at is not null or exists (select 1 from g where g.configuration_id = r.configuration_id and g.entity = r.entity)) and t.status = 'superseded' and superseded_from_status in ('pending', 'processing') and last_error is null and error_code is null and lease_token is null and lease_until is null and execution_deadline is null order by t.id limit 25)",
+)
+
+
+@query(f"select (select count(*) from c1) as completed, (select count(*) from c2) as superseded, (select count(*) from g) as destinations, (select count(*) from (select 1 from events where ts < {NOW} - interval 1814400 second limit 25)) as audit", *_PASSED)
+def cleanup_totals(spark, sf):
+    """What one bounded pass removes."""
+    return _cleanup(spark, sf)["totals"]
+
+
+@query("select id, status from tasks where id not in (select id from c1) and id not in (select id from c2)", *_PASSED)
+def cleanup_tasks_left(spark, sf):
+    return _cleanup(spark, sf)["tasks"].select("id", "status")
+
+
+_STAGED = "configuration_id = 2"
+_TURN = f"""o as (select configuration_id, entity from revisions x where state = 'active' and not {_STAGED} and exists (select 1 from revisions y where y.entity = x.entity and y.{_STAGED}))"""
 
 
-@query("select id, completed_at from tasks where status = 'done' and processed_generation = generation and completed_at <= timestamp '2024-01-30 20:00:00' and lease_token is null order by completed_at, id limit 20", fx.TASKS)
+def _activated(spark, sf):
+    r = fx.revisions(spark, sf).withColumn("state", F.when(F.expr(_STAGED), "staging").otherwise(F.col("state"))).where(f"not ({_STAGED}) or entity <> 'e1'")
+    t = fx.tasks(spark, sf).withColumn("status", F.when(F.expr(_STAGED), "done").otherwise(F.col("status")))
+    return revisions.activate(r, t, 2, fx.now())
+
+
+_BASE = (
+    fx.TASKS, fx.REVISIONS.replace("revisions as (", "revisions0 as (", 1), f"revisions as (select * replace (case when {_STAGED} then 'staging' else state end as state) from revisions0 where not ({_STAGED}) or entity <> 'e1')",
+    f"tasks1 as (select * replace (case when {_STAGED} then 'done' else status end as status) from tasks)", _TURN,
+    "d as (select configuration_id, entity, max(execution_deadline) as until from tasks1 group by all)",
+)
+
+
+@query(f"""select configuration_id, entity, case when {_STAGED} then 'active' when o.entity is not null then 'retired' else state end as state, case when o.entity is not null then {NOW} else retired_at end as retired_at,
+  case when o.entity is not null then d.until else retired_execution_until end as retired_execution_until from revisions left join o using (configuration_id, entity) left join d using (configuration_id, entity)""", *_BASE)
+def activated_revisions(spark, sf):
+    """Only the new configuration's entities turn over; entity e1, which it lacks, stays."""
+    return _activated(spark, sf)[0].select("configuration_id", "entity", "state", "retired_at", "retired_execution_until")
+
+
+@query("""select id, case when e then 'superseded' else status end as status, case when e then status else superseded_from_status end as superseded_from_status, case when not e then lease_token end as lease_token,
+  case when not e then execution_deadline end as execution_deadline from (select t.*, o.entity is not null and status <> 'done' as e from tasks1 t left join o using (configuration_id, entity))""", *_BASE)
+def activated_tasks(spark, sf):
+    return _activated(spark, sf)[1].select("id", "status", "superseded_from_status", "lease_token", "execution_deadline")
+
+
+@query("select id, case when fingerprint is not distinct from stored_fingerprint then 'skip' else 'embed' end as step from w where fingerprint is not null", fx.TASKS, fx.REVISIONS, _WORK)
+def embed_or_skip(spark, sf):
+    """Work whose fingerprint is the stored one needs no vector."""
+    w = _work(spark, sf)
+    return queue.unchanged(w).select("id", F.lit("skip").alias("step")).unionByName(queue.to_embed(w).select("id", F.lit("embed").alias("step")))
+
+
+@query("select id, completed_at from tasks where status = 'done' and processed_generation = generation and completed_at <= timestamp '2024-01-30 20:00:00' and lease_token is null and lease_until is null and execution_deadline is null order by completed_at, id limit 20", fx.TASKS)
 def retention_candidates(spark, sf):
     return retention.completed(fx.tasks(spark, sf), F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"), 20).select("id", "completed_at")
 
 
-@query("select t.id from tasks t join revisions r using (configuration_id, entity) where r.state = 'retired' and r.cleaned_at is not null and t.status = 'superseded' and superseded_from_status in ('pending', 'processing') and last_error is null and lease_token is null order by t.id limit 20", fx.TASKS, fx.REVISIONS)
+@query("select t.id from tasks t join revisions r using (configuration_id, entity) where r.state = 'retired' and r.cleaned_at is not null and t.status = 'superseded' and superseded_from_status in ('pending', 'processing') and last_error is null and error_code is null and lease_token is null and lease_until is null and execution_deadline is null order by t.id limit 20", fx.TASKS, fx.REVISIONS)
 def superseded_candidates(spark, sf):
     return retention.superseded(fx.tasks(spark, sf), fx.revisions(spark, sf), 20).select("id")
 
@@ -474,25 +563,36 @@ def bm25_topk(spark, sf):
     return rows.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("select id, round(coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0), 9) as score from (select event_id as id, event_id % 40 + 1 as l from events where event_id < 40) full join (select event_id as id, 41 - event_id % 40 as s from events where event_id between 20 and 59) using (id) order by coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0) desc, id limit 5")
+@query("select doc_id, round(score, 6) as score from bm order by bm.score desc, doc_id limit 20", _BM)
+def bm25_indexed_topk(spark, sf):
+    """The same ranks from an inverted index, of which a query reads its own tokens."""
+    docs = fx.read(spark, sf, "documents")
+    found = lexical.bm25_of(lexical.postings(docs, "doc_id", "text"), lexical.lengths(docs, "doc_id", "text"), "doc_id", TERMS)
+    return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""select id, round(coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0), 9) as score from (select event_id as id, row_number() over (order by value desc, event_id) as l from events where event_type = 'click') full join
+  (select event_id as id, row_number() over (order by value, event_id) as s from events where user_id % 2 = 0) using (id) order by coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0) desc, id limit 5""")
 def rrf_fusion(spark, sf):
-    e = fx.read(spark, sf, "events").select(F.col("event_id").alias("id"))
-    lex = e.where("id < 40").withColumn("lexical_rank", F.col("id") % 40 + 1)
-    sem = e.where("id between 20 and 59").withColumn("semantic_rank", 41 - F.col("id") % 40)
-    return hybrid.rrf(lex, sem, "id", hybrid.SearchParams()).select("id", F.round("score", 9).alias("score"))
+    """Two lists of candidates, of which only the first ones can reach the results."""
+    e = fx.read(spark, sf, "events").withColumnRenamed("event_id", "id")
+    p = hybrid.SearchParams(candidates=1000)
+    lex = hybrid.top(e.where("event_type = 'click'"), [F.desc("value"), F.col("id")], p.candidates, "lexical_rank")
+    sem = hybrid.top(e.where("user_id % 2 = 0"), [F.col("value"), F.col("id")], p.candidates, "semantic_rank")
+    return hybrid.rrf(lex, sem, "id", p).select("id", F.round("score", 9).alias("score"))
 
 
-def _hybrid_sql(fresh: str, wl: float, ws: float) -> str:
+def _hybrid_sql(fresh: str, wl: float, ws: float, there: str = "true") -> str:
     return f"""select doc_id, lexical_rank, semantic_rank, round(coalesce({wl} / (60 + lexical_rank), 0) + coalesce({ws} / (60 + semantic_rank), 0), 9) as score from
   (select * from (select doc_id, row_number() over (order by score desc, doc_id) as lexical_rank from bm where source <> 'src1' and doc_id % 11 <> 0) where lexical_rank <= 20 and {wl} > 0) l full join
   (select * from (select doc_id, row_number() over (order by d, doc_id) as semantic_rank from
-     (select vec_id as doc_id, {_DIST['cosine']} as d from embeddings where vec_id in (select doc_id from documents where source <> 'src1' and doc_id % 11 <> 0) order by d, vec_id limit 80) where {fresh}) where semantic_rank <= 20 and {ws} > 0) s using (doc_id)
+     (select vec_id as doc_id, {_DIST['cosine']} as d from embeddings where vec_id in (select doc_id from documents where source <> 'src1' and doc_id % 11 <> 0) and {there} order by d, vec_id limit 80) where {fresh}) where semantic_rank <= 20 and {ws} > 0) s using (doc_id)
   order by coalesce({wl} / (60 + lexical_rank), 0) + coalesce({ws} / (60 + semantic_rank), 0) desc, doc_id limit 5"""
 
 
-def _search(spark, sf, fresh, wl=0.5, ws=0.5):
+def _search(spark, sf, fresh, wl=0.5, ws=0.5, dest=None):
     src = fx.read(spark, sf, "documents")
-    dest = fx.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    dest = (fx.read(spark, sf, "embeddings") if dest is None else dest).withColumnRenamed("vec_id", "doc_id").drop("label")
     allowed = (F.col("source") != "src1") & (F.col("doc_id") % 11 != 0)
     p = hybrid.SearchParams(lexical_weight=wl, semantic_weight=ws)
     out = hybrid.search(src, dest, "doc_id", "text", "embedding", QUERY_VECTOR, TERMS, allowed, fresh, p)
@@ -504,10 +604,15 @@ def hybrid_search(spark, sf):
     return _search(spark, sf, None)
 
 
-@query(_hybrid_sql("doc_id % 7 <> 0", 0.5, 0.5), _BM)
+_FRESH = f"doc_id in (select d.doc_id from (select doc_id, {FP_SQL} as f from documents) d join ({_STORED}) s using (doc_id) where f = stored)"
+
+
+@query(_hybrid_sql(_FRESH, 0.5, 0.5, f"vec_id in (select doc_id from ({_STORED}))"), _BM)
 def hybrid_fresh_only(spark, sf):
-    fp = content.fingerprint(content.render(T), T, PROFILE)
-    return _search(spark, sf, fp == F.when(F.col("doc_id") % 7 == 0, "old").otherwise(fp))
+    """Vectors whose stored fingerprint is not that of the row as it is now leave the pool."""
+    stored = _stored(spark, sf).select(F.col("doc_id").alias("vec_id"), F.col("fingerprint").alias("stored"))
+    dest = fx.read(spark, sf, "embeddings").join(stored, "vec_id")
+    return _search(spark, sf, content.fingerprint(content.render(T), T, PROFILE) == F.col("stored"), dest=dest)
 
 
 @query(_hybrid_sql("true", 0.0, 1.0), _BM)
@@ -523,10 +628,10 @@ def queue_snapshot(spark, sf):
     return telemetry.queue_snapshot(fx.tasks(spark, sf))
 
 
-@query("select count(*) filter (status in ('pending', 'processing')) as outstanding, count(*) filter (status = 'failed') as failed, max(lease_until) as last_lease from tasks", fx.TASKS)
+@query("select count(*) filter (status in ('pending', 'processing')) as outstanding, count(*) filter (status = 'failed') as failed, max(execution_deadline) as last_deadline from tasks", fx.TASKS)
 def outstanding(spark, sf):
     s = F.col("status")
-    return fx.tasks(spark, sf).agg(F.count_if(s.isin("pending", "processing")).alias("outstanding"), F.count_if(s == "failed").alias("failed"), F.max("lease_until").alias("last_lease"))
+    return fx.tasks(spark, sf).agg(F.count_if(s.isin("pending", "processing")).alias("outstanding"), F.count_if(s == "failed").alias("failed"), F.max("execution_deadline").alias("last_deadline"))
 
 
 @query("select t.entity, r.state, count(*) as n from tasks t join revisions r using (configuration_id, entity) group by all", fx.TASKS, fx.REVISIONS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "generation long, processed long, coalesced long, operation string"
+STATE = "generation long, processed long, coalesced long, operation string, last long"
 OUT = "source_id string, generation long, processed long, coalesced long, operation string"
 
 
@@ -19,16 +19,15 @@ def change_log(spark: SparkSession, path: str, schema: str, files_per_trigger: i
 
 
 def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    generation, processed, coalesced, operation = state.get if state.exists else (0, 0, 0, None)
-    last = -1
+    generation, processed, coalesced, operation, last = state.get if state.exists else (0, 0, 0, None, None)
     for frame in frames:
         n = len(frame)
         coalesced += n - max(0, min(n, processed + 1 - generation))
         generation += n
         at = frame["seq"].idxmax()
-        if frame["seq"][at] > last:
-            last, operation = frame["seq"][at], frame["operation"][at]
-    state.update((generation, processed, coalesced, operation))
+        if last is None or frame["seq"][at] > last:
+            last, operation = int(frame["seq"][at]), frame["operation"][at]
+    state.update((generation, processed, coalesced, operation, last))
     yield pd.DataFrame([(key[0], generation, processed, coalesced, operation)], columns=["source_id", "generation", "processed", "coalesced", "operation"])
 
 
