@@ -26,13 +26,8 @@ def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, key, tf, length): the inverted index.  Written in ranges of token, a query reads only its own tokens."""
-    t = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    # Equal tokens are neighbours once sorted, so a run's length is a difference of places and no token shuffles.
-    runs = F.array_sort("t")
-    ends = F.filter(F.transform(runs, lambda x, i: F.when((i + 1 == F.size(runs)) | (F.get(runs, i + 1) != x), F.struct(x.alias("token"), (i + 1).alias("upto")))), lambda x: x.isNotNull())
-    t = t.select(key, "length", ends.alias("e"))
-    tf = F.transform("e", lambda x, i: F.struct(x["token"].alias("token"), (x["upto"] - F.when(i == 0, 0).otherwise(F.get("e", i - 1)["upto"])).alias("tf")))
-    return t.select(key, "length", F.explode(tf).alias("p")).select("p.token", key, "p.tf", "length")
+    t = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("token"))
+    return t.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
