@@ -311,20 +311,60 @@ def test_secrets(spark, odd, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def extracted(spark, pages, url="http://h.example/x"):
+    rows = spark.createDataFrame([(i, url, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_tree.extract(rows).orderBy("page_id").collect()]
+
+
 def test_html(spark, sf):
     page = """<html><head><title>T</title></head><body><nav>Menu</nav><header>Top</header><div class="cookie-notice">Cookies</div>
     <article><h1>Head &amp; more</h1><p>First <b>bold</b>, text<br>line&nbsp;two<p>Second<script>var x="</p>"</script><div class=ad>Buy</div>
     <form><input><label>Mail</label></form></article><aside>Side</aside><section id="comments"><p>I disagree</p></section><footer>End</footer>"""
-    assert html_tree.main_text(page) == "Head & more First bold, text line two Second"
-    assert html_tree.main_text("") == "" and html_tree.main_text("plain <b>text") == "plain text"
-    assert html_tree.main_text("<p>a<!-- <p>no</p> --></p><li>b<li>c</ul>") == "a b c"
-    rows = [(i, f"http://h.example/{i}", f"<body><div class=box><p>Same on every page</p></div><div class=story><p>Text {i} of its own</p></div></body>") for i in range(30)]
+    assert extracted(spark, [page, "", "plain <b>text", "<p>a<!-- <p>no</p> --></p><li>b<li>c</ul>"]) == ["Head & more First bold, text line two Second", "", "plain text", "a b c"]
+    odd = [
+        ('<p>Good text here <span class="ad">Buy now</p><p>b</p>', "Good text here b"), ('<p>Text <span class="ad">Buy now</span> more</p>', "Text more"),
+        ('<div class="Sidebar">x</div><div class="AdBanner">y</div><div class="Nav">z</div><p>a</p>', "a"), ('<div class="article-header"><h1>Title</h1></div><p>a</p>', "Title a"),
+        ('<div><p>The story itself is long enough.</p></div><article class="teaser">short</article>', "The story itself is long enough. short"),
+        ('<article class="related promo">other</article><div><p>The story</p></div>', "The story"), ("<div>" * 3000 + "deep" + "<p>x" * 200, "deep" + " x" * 200), ("<p>" + "long " * 50_000, ("long " * 50_000).strip()),
+    ]
+    assert extracted(spark, [p for p, _ in odd], None) == [t for _, t in odd]
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=box><p>Same on every page</p></div><div class=story><p>Text {i} of its own</p><p>Read on below</p></div></body>") for i in range(30)]
     rows += [(100, None, None), (101, "odd", "<p>alone</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     for bound in (html_tree.BROADCAST, -1):
         got = {r["page_id"]: r["text"] for r in html_tree.extract(df, broadcast=bound).collect()}
         assert got[3] == "Text 3 of its own" and got[100] == "" and got[101] == "alone" and len(got) == 32
     assert html_tree.extract(df.limit(0)).count() == 0
+    # The tree decides on a doubtful name: kept where its text is of the page, gone where it is the host's.
+    both = lambda i: f'<div class="banner"><p>Banner {i}</p></div><div class="widget"><p>Tools</p></div><p>Text {i}</p>'
+    assert extracted(spark, [both(i) for i in range(12)])[4] == "Banner 4 Text 4" and extracted(spark, [both(1)]) == ["Text 1"]
+
+
+def test_the_style_tree_removes_the_template_of_real_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(120)
+    got = {r["page_id"]: r for r in html_tree.extract(pages).collect()}
+    different = 0
+    for r in pages.collect():
+        off = html_tree.main_text(r["html"])
+        article = r["html"].partition("<article>")[2].partition("</article>")[0]
+        assert got[r["page_id"]]["text"] == html_tree.main_text(f"<article>{article}</article>")
+        different += len(html_tree.parse(r["html"])[0]) != len(html_tree.parse(article)[0])
+        assert got[r["page_id"]]["text"] == off or len(got[r["page_id"]]["text"]) < len(off)
+    assert different
+
+
+def test_importance_is_the_entropy_over_pages(spark):
+    import math
+
+    pages = [f"<div class=a><p>{i % 3}</p></div><div class=b><p>same</p></div><div class=c><p>text {i}</p></div><p>{i}</p>" for i in range(12)]
+    sig = html_tree.signatures(spark.createDataFrame([("http://h.example/", p) for p in pages], "url string, html string"))
+    got = {r["node"]: r for r in html_tree.importances(sig).collect()}
+    for cls, counts in (("a", [4, 4, 4]), ("b", [12]), ("c", [1] * 12)):
+        entropy = -sum(n / 12 * math.log(n / 12, 12) for n in counts)
+        below = got[html_tree._hash(f"/div.{cls}/p")]["importance"]
+        # The presentation of a leaf is the same on each page, so its importance is that of its text, less by the weight of its looks.
+        assert below == pytest.approx(min(html_tree.GAMMA * entropy, entropy))
+    assert {r["node"] for r in html_tree.repeated_blocks(sig).collect()} == {html_tree._hash(f"{html_tree._hash('/div.b/p')} same")}
 
 
 def test_neighbours(spark):
