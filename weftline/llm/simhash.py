@@ -56,17 +56,17 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``fp``, the fingerprint as a signed long.  Null counts as empty."""
+def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
+    """Add the fingerprint as a signed long, in a column of that name.  Null counts as empty."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             h = np.array([fingerprint(x) for x in raw(batch, text)], dtype=np.uint64).view(np.int64)
-            return {"fp": pa.array(h, pa.int64())}
+            return {name: pa.array(h, pa.int64())}
 
         return f
 
-    return append_columns(docs, make, [T.StructField("fp", T.LongType())])
+    return append_columns(docs, make, [T.StructField(name, T.LongType())])
 
 
 def _turned(fp: np.ndarray, start: int) -> np.ndarray:
@@ -178,27 +178,56 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def classes_of(marked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp, low, root, component_id) of the fingerprints of ``marked`` (doc_id, fp): the smallest doc_id of the fingerprint, the
+    fingerprint that names its component and the smallest doc_id of that.  Ids combine before the shuffle."""
+    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    roots = components(links(classes.select("fp"), block), "simhash").select(F.col("node").alias("fp"), "root")
+    tree = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return tree.join(tree.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "low", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs`` (doc_id, text; other columns are not read).
 
     component_id is the smallest doc_id reachable over fingerprints that differ in 3 bits or fewer.  Null and empty texts
     have fingerprint 0, which links like any other.  Rows that repeat a doc_id are rows of their own.  A null doc_id stays
-    null, and counts for a component only if it has no other.  An empty table gives no rows.
+    null, and counts for a component only if it has no other.  Very long texts count whole.  An empty table gives no rows.
     """
     marked = materialise(with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "fp"), "fingerprints")
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    roots = components(links(classes.select("fp"), block), "simhash").select(F.col("node").alias("fp"), "root")
-    tree = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = tree.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = tree.join(lows, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(classes_of(marked, block), "components").select("fp", "component_id")
+    # A fingerprint of very many rows (that of empty texts, or of one copied text) meets its name in each task, the others by a join.
+    hot = named.join(F.broadcast(_hot(marked)), "fp").select("fp", F.lit(True).alias("__hot"), F.col("component_id").alias("__id"))
+    rows = marked.join(F.broadcast(hot), "fp", "left")
+    many = rows.where("__hot").select("doc_id", "fp", F.col("__id").alias("component_id"))
+    few = rows.where("__hot is null").select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+    return few.unionByName(many).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Rows from which a fingerprint is hot, and how many such are broadcast at most, the most frequent first.
+HOT, MOST_HOT = 1024, 10_000
+
+
+def _hot(marked: DataFrame) -> DataFrame:
+    n = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    return n.orderBy(F.desc("n"), "fp").limit(MOST_HOT).select("fp")
 
 
 def one_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` without the near duplicates: the row with the smallest doc_id of each component stays, with all its columns.
+    """``docs`` without the near duplicates: one row of each component stays, with all its columns.
 
-    Rows with a null doc_id have no id to be judged by, and stay.
+    That is the row with the smallest doc_id; if rows that differ share it, the one with the smallest fingerprint; of rows
+    that repeat both, one.  Rows with a null doc_id have no id to be judged by, and stay.
     """
-    found = near_duplicates(docs, block)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    marked = materialise(with_fingerprint(docs, name="__fp").withColumn("__id", F.col("doc_id").cast("long")), "marked")
+    ids = marked.select(F.col("__id").alias("doc_id"), F.col("__fp").alias("fp"))
+    firsts = classes_of(ids, block).where(F.col("low") == F.col("component_id")).groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
+    firsts = materialise(firsts.select(F.col("component_id").alias("__i"), F.col("fp").alias("__f")), "firsts")
+    kept = marked.join(firsts, (F.col("__id") == F.col("__i")) & (F.col("__fp") == F.col("__f")), "left_semi")
+    # Only rows that repeat id and fingerprint meet again; as a rule there are none.
+    again = materialise(ids.where("doc_id is not null").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__i"), F.col("fp").alias("__f")), "repeats")
+    if not again.isEmpty():
+        same = (F.col("__id") == F.col("__i")) & (F.col("__fp") == F.col("__f"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["__id", "__fp"]))
+    return kept.unionByName(marked.where("__id is null")).select(*names)
