@@ -22,6 +22,9 @@ from .simhash import LOWER
 #: With more rows than it is made for, more rows shuffle; the result is the same.
 BITS_PER_ROW = 32
 MOST_BITS = 1 << 27
+#: Rows from which a group is large, and how many such are broadcast at most, the largest first: what is left is at most the
+#: table's rows by that number in one group.
+HOT, MOST_HOT = 1024, 50_000
 
 
 def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,7 +72,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Of equal texts the row with the largest doc_id stays; a null doc_id comes after all others.  If that doc_id repeats
     within its group, all of its rows are kept, as nothing tells them apart.  Null counts as empty; an empty table gives
-    no rows.
+    no rows.  Very long texts are hashed whole.
     """
     hashed = materialise(with_hash(docs.select(F.col("doc_id").cast("long"), text), text).select("doc_id", "text_sha256"), "hashes")
     bits = filter_bits(hashed.count())
@@ -81,7 +84,14 @@ def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    many = maybe.join(groups, "text_sha256").select(
+    # Groups combine before the shuffle.  The largest go to the rows, so none of them is one task's work.
+    groups = materialise(groups, "groups")
+    large = groups.where(F.col("group_size") > HOT).orderBy(F.desc("group_size"), "text_sha256").limit(MOST_HOT)
+    large = large.select("text_sha256", F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
+    there = maybe.join(F.broadcast(large), "text_sha256", "left")
+    hot = there.where("__size is not null").select("doc_id", "text_sha256", F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"))
+    rest = there.where("__size is null").select("doc_id", "text_sha256").join(groups, "text_sha256")
+    many = hot.unionByName(rest.select(*hot.columns)).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return single.unionByName(many)
