@@ -3,8 +3,8 @@
 A word's script narrows the candidate languages; its character n-grams score them; Viterbi over the words, with a penalty
 for each change of language, labels spans.  The language with the most letters is the document's.
 
-The model is learned from labelled documents: counts of n-grams in a bounded sample of at most about ``TRAIN_DOCS``
-documents, of which the ``GRAMS`` most frequent n-grams are kept.
+The model is learned from labelled documents: counts of n-grams in a bounded sample of about ``TRAIN_DOCS`` documents, the
+same number of each language as far as it has them, of which each language's ``GRAMS`` most frequent n-grams are kept.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, col, crc_mod, prepare, texts
+from .common import append_columns, col, crc_mod, materialise, prepare, texts
 
 TRAIN_DOCS = 6000
-GRAMS = 100_000
+GRAMS = 50_000
 #: The log-odds that a change of language costs.
 SWITCH = 12.0
 #: What a language loses by a word in a script that it is not written in.
@@ -44,6 +45,8 @@ SCRIPTS = (
     ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
 WORDS = re.compile(r"[^\W\d_]+")
+#: Up to here all letters are Latin.
+LAST_LATIN = "\u024f"
 
 
 @lru_cache(maxsize=1 << 16)
@@ -56,6 +59,18 @@ def script_of(word: str) -> str:
     return script_of_letter(word[0])
 
 
+def words_of(low: str) -> list[str]:
+    """The words of a lower-cased text; where scripts change within a run of letters, each part is a word."""
+    words = WORDS.findall(low)
+    if low.isascii() or max(low) <= LAST_LATIN:
+        return words
+    return [part for w in words for part in ([w] if max(w) <= LAST_LATIN else _parts(w))]
+
+
+def _parts(word: str) -> list[str]:
+    return ["".join(g) for _, g in groupby(word, script_of_letter)]
+
+
 def grams_of(word: str) -> list[str]:
     w = f"^{word}$"
     return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
@@ -95,21 +110,31 @@ class Model:
         return np.array([x if f.all() or not f.any() else np.where(f, x, x - OTHER_SCRIPT) for x, f in zip(out, map(fits.__getitem__, here), strict=True)], dtype=np.float32)
 
 
+def upper_bound(wanted: float, rows: int) -> int | None:
+    """The 64-bit hashes below it are ``wanted`` of ``rows`` on average; None if all are."""
+    return None if rows <= wanted else int(wanted / rows * (1 << 64)) - (1 << 63)
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_DOCS, grams: int = GRAMS) -> Model:
     """The model of ``docs`` (doc_id, text, lang); rows without a text or a language are left out.
 
-    ``rows`` bounds the sample: documents are chosen by a hash of their ids, at a rate that gives that many on average.
+    ``rows`` bounds the sample: of each language documents are chosen by a hash of their ids, at a rate that gives its share
+    of that many on average.  Languages are few: one number for each goes to the driver.
     """
     prepare(docs.sparkSession)
     used = docs.where(col(lang).isNotNull() & col(text).isNotNull()).select(col("doc_id").alias("doc_id"), col(text).alias("text"), col(lang).cast("string").alias("lang"))
-    rate = min(1.0, rows / max(1, used.select("lang").count()))
-    used = used.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000)))
+    sizes = {r["lang"]: r["n"] for r in used.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = F.lit(False)
+    for x, n in sizes.items():
+        upto = upper_bound(rows / len(sizes), n)
+        chosen = chosen | ((F.col("lang") == F.lit(x)) & (F.lit(True) if upto is None else F.xxhash64("doc_id", F.lit(6)) < F.lit(upto)))
+    used = used.where(chosen)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
             for lang_, text_ in zip(batch.column("lang").to_pylist(), texts(batch, "text"), strict=True):
-                for w, k in Counter(WORDS.findall(text_.lower())).items():
+                for w, k in Counter(words_of(text_.lower())).items():
                     n[lang_, 1, script_of(w)] += k
                     for g in grams_of(w):
                         n[lang_, 0, g] += k
@@ -118,8 +143,12 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int32()), pa.array(c), pa.array(list(n.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
     counts = used.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counts.where("kind = 0 and n > 1").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    top = by_gram.orderBy(F.desc("n"), "gram").limit(grams).select("gram", "by").collect()
+    counts = materialise(counts, "grams")
+    # A filter on row_number keeps the first of each language already before the shuffle.
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    kept = counts.where("kind = 0 and n > 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= grams).select("gram").distinct()
+    by_gram = counts.where("kind = 0").join(kept, "gram").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    top = by_gram.orderBy("gram").collect()
     scripts = counts.where("kind = 1").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("by")).collect()
     langs = sorted(r["lang"] for r in scripts)
     at = {x: i for i, x in enumerate(langs)}
@@ -212,7 +241,7 @@ class Labeller:
         """The words of each text and their languages, as positions in ``model.langs``."""
         if len(self.ids) > WORD_CACHE:
             self.ids = {}
-        words = [WORDS.findall(x.lower()) for x in batch]
+        words = [words_of(x.lower()) for x in batch]
         new = [w for w in set().union(*words) if w not in self.ids]
         if new:
             self.learn(new)
@@ -238,7 +267,12 @@ class Labeller:
         if not self.model.langs:
             return []
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        places = [m.span() for m in WORDS.finditer(low)]
+        places = []
+        for m in WORDS.finditer(low):
+            at = m.start()
+            for part in [m[0]] if max(m[0]) <= LAST_LATIN else _parts(m[0]):
+                places.append((at, at + len(part)))
+                at += len(part)
         table = self.model.words([low[a:b] for a, b in places]) if places else np.zeros((0, len(self.model.langs)), np.float32)
         out: list[tuple[int, int, str]] = []
         for (a, b), k in zip(places, viterbi([table], self.switch)[0], strict=True):
@@ -261,7 +295,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
     """Add lang_pred and score to ``docs``; both replace columns of those names.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.  Ties go to the language that
-    comes first.  An empty table gives no rows; repeated rows get equal results.
+    comes first.  An empty table gives no rows; repeated rows get equal results; very long texts are labelled whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
