@@ -131,7 +131,11 @@ def test_simhash(spark, odd, nothing, docs):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(odd).collect()}
     assert got[2]["fingerprint"] == got[3]["fingerprint"] == "0" * 16 and got[7]["component_id"] == 2 and got[4]["component_id"] == 1
     assert simhash.near_duplicates(nothing).count() == 0
-    assert {r["doc_id"] for r in simhash.one_of_each(odd).collect()} == {1, 2, 5, None, 8}
+    assert sorted(r["doc_id"] or 0 for r in simhash.one_of_each(odd).collect()) == [0, 1, 2, 5, 8]
+    assert simhash.one_of_each(odd).columns == odd.columns and simhash.one_of_each(nothing).count() == 0
+    words = " ".join(f"w{i}" for i in range(40))
+    twice = spark.createDataFrame([(1, words), (5, words), (5, "another text of its own altogether"), (5, "another text of its own altogether"), (7, words)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][:7]) for r in simhash.one_of_each(twice).collect()) == [(1, words[:7]), (5, "another")]
 
 
 @pytest.mark.parametrize("n", range(4))
@@ -258,6 +262,8 @@ def test_language(spark, odd, nothing):
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
     assert got[2]["lang_pred"] == got[3]["lang_pred"] == got[7]["lang_pred"] == "und" and got[1]["lang_pred"] in model.langs
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert [langid.upper_bound(6000, 10**10) + (1 << 63), langid.upper_bound(6000, 6000)] == [int(6000 / 10**10 * 2**64), None]
+    assert langid.words_of("abc \u65e5\u672c\u3053 x") == ["abc", "\u65e5\u672c", "\u3053", "x"]
     empty = langid.train(nothing.withColumn("lang", F.lit("en")))
     assert langid.identify(odd, empty).where("lang_pred <> 'und'").count() == 0 and langid.identify(nothing, model).count() == 0
 

@@ -47,11 +47,14 @@ def prepare(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, as in tests, one is made on this machine.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset in local mode, as in tests, one is made on this
+    machine; elsewhere that would be a folder that the others can't see, and is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="weftline-")
