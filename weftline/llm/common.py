@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: texts may be very long, so a batch of them must stay small.
 ARROW_ROWS = 512
+#: Whether the files of an execution's shuffles go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -65,11 +67,17 @@ def work_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not what led to this table.
+    This cuts the lineage: a lost executor costs the tasks it ran, not what led to this table.  What the write shuffled is
+    of no more use once the table is there, so its files go at once and not at some garbage collection of the driver.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
