@@ -60,3 +60,25 @@ def search(src: DataFrame, dest: DataFrame, key: str, text: str, embedding: str,
         pool = pool.join(src, key).where(fresh)
     sem = top(pool.select(key, "distance"), [F.col("distance"), F.col(key)], p.candidates, "semantic_rank")
     return rrf(lex, sem, key, p)
+
+
+def with_content(results: DataFrame, src: DataFrame, key: str, columns: list[str], allowed: Column | None = None) -> DataFrame:
+    """``results`` with columns of the rows they name, read again (J12): rows that are gone, or that ``allowed`` no longer
+    shows, leave.  The results are few, so they go to the source and not its rows to them."""
+    rows = src if allowed is None else src.where(allowed)
+    return rows.select(key, *columns).join(F.broadcast(results), key)
+
+
+def pinned(find, revision, tries: int = 3):
+    """The result of ``find(revision)`` if the active revision is the same after it, tried again a few times.
+
+    ``revision()`` gives the active revision or None; ``find`` returns rows, not a plan, so that what was read is what is checked.
+    """
+    for _ in range(tries):
+        before = revision()
+        if before is None:
+            raise LookupError("no active revision")
+        rows = find(before)
+        if revision() == before:
+            return rows
+    raise RuntimeError(f"the active revision changed {tries} times")

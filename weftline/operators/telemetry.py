@@ -61,3 +61,39 @@ def firing(df: DataFrame, by: list[str], ts: str, bad: Column, for_seconds: int)
     rows = df.withColumn("__bad", F.coalesce(bad, F.lit(False))).withColumn("__run", F.sum((~F.col("__bad")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.where("__bad").groupBy(*by, "__run").agg(F.min(ts).alias("since"), F.max(ts).alias("until"), F.count(F.lit(1)).alias("samples"))
     return runs.where(F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp")) >= for_seconds * 1_000_000).drop("__run")
+
+
+def range_rate(samples: DataFrame, series: list[str], ts: str, value: str, range_s: int, step_s: int) -> DataFrame:
+    """(series, instant, increase, rate): the rate of a counter over the last ``range_s`` seconds at each multiple of ``step_s``.
+
+    Samples after the left edge count, up to the instant itself; a fall is a reset to 0.  The increase between the first and
+    the last sample is carried on to the edges: whole if a sample is as near as they are apart on average (and a tenth more),
+    else by half of that, and to the left no further than where the counter would be 0.  Two samples are needed.
+    """
+    us, span, step = F.unix_micros(F.col(ts).cast("timestamp")), range_s * 1_000_000, step_s * 1_000_000
+    first = F.ceil(F.col("__t") / step)
+    last = F.ceil((F.col("__t") + span) / step) - 1
+    rows = samples.select(*series, us.alias("__t"), F.col(value).cast("double").alias("__v")).where("__v is not null").where(last >= first)
+    rows = rows.select(*series, "__t", "__v", F.explode(F.sequence(first, last)).alias("__k"))
+    before = F.lag("__v").over(Window.partitionBy(*series, "__k").orderBy("__t", "__v"))
+    rows = rows.withColumn("__d", F.when(before.isNull(), 0.0).when(F.col("__v") < before, F.col("__v")).otherwise(F.col("__v") - before))
+    sums = rows.groupBy(*series, "__k").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__t").alias("__a"), F.max("__t").alias("__b"), F.min_by("__v", F.struct("__t", "__v")).alias("__v0"), F.sum("__d").alias("__i")
+    ).where("__n > 1 and __b > __a")
+    at = F.col("__k") * step
+    between, near = F.col("__b") - F.col("__a"), (F.col("__b") - F.col("__a")) / (F.col("__n") - 1)
+    edge = lambda gap: F.when(gap >= near * 1.1, near / 2).otherwise(gap)
+    zero = F.when((F.col("__i") > 0) & (F.col("__v0") >= 0), between * F.col("__v0") / F.col("__i"))
+    left = F.least(edge(F.col("__a") - (at - span)), zero)
+    more = F.col("__i") * (between + left + edge(at - F.col("__b"))) / between
+    return sums.select(*series, F.timestamp_micros(at).cast("timestamp_ntz").alias("instant"), more.alias("increase"), (more / range_s).alias("rate"))
+
+
+def latest(samples: DataFrame, series: list[str], ts: str, value: str) -> DataFrame:
+    """(series, value): a gauge's last sample."""
+    return samples.where(F.col(value).isNotNull()).groupBy(*series).agg(F.max_by(value, F.struct(ts, value)).alias("value"))
+
+
+def absent(samples: DataFrame, expected: DataFrame, series: list[str], ts: str, since: Column) -> DataFrame:
+    """The expected series without a sample since."""
+    return expected.join(samples.where(F.col(ts) > since).select(*series).distinct(), series, "left_anti")

@@ -703,3 +703,6 @@ def deterministic_embed(spark, sf):
     from ..sources.embedder import embed
 
     return embed(fx.read(spark, sf, "documents").select("doc_id", content.render(T).alias("content")), "content", 8).select("doc_id", "vector")
+
+
+from . import metrics  # noqa: E402, F401  (adds its queries to these)
