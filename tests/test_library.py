@@ -250,3 +250,41 @@ def test_a_late_change_does_not_overwrite_a_later_one(spark, tmp_path):
         log = changes.change_log(spark, f"{tmp_path}/log", "source_id string, operation string, seq long", 1)
         changes.drain(changes.pending_tasks(log), f"{tmp_path}/c", lambda df, _: seen.extend((r["generation"], r["operation"]) for r in df.collect()))
     assert seen == [(1, "delete"), (2, "delete")]
+
+
+def test_a_change_becomes_a_vector_and_nothing_is_embedded_twice(spark, tmp_path):
+    from weftline.streaming import loops
+
+    t0 = datetime(2024, 1, 1, 12)
+    s = state.State(spark, f"file://{tmp_path}/s")
+    task = "id long, configuration_id long, entity string, source_id string, operation string, status string, generation long, processed_generation long, attempts long, retry_generation long, next_attempt_at timestamp, requested_at timestamp, lease_token string, lease_until timestamp, execution_started_at timestamp, execution_deadline timestamp, completed_at timestamp, last_error string, error_code string"
+    s.commit({
+        "tasks": spark.createDataFrame([], task), "revisions": spark.createDataFrame([(1, "a", "active")], "configuration_id long, entity string, state string"),
+        "vectors": spark.createDataFrame([("a", "3", [0.5], "f3", 1)], "entity string, source_id string, embedding array<double>, fingerprint string, configuration_id long"),
+        "cursors": spark.createDataFrame([], "entity string, cursor_time timestamp, cursor_id long, window_end timestamp"),
+    }, 0)
+    rows = [(k, t0 - timedelta(minutes=5)) for k in (1, 2, 10)] + [(3, t0 - timedelta(minutes=4))]
+    source = spark.createDataFrame(rows, "id long, updated_at timestamp")
+    assert loops.poll(s, source, "a", "updated_at", "id", 1, t0, t0, 3) == 3
+    cursor = s.read("cursors").first()
+    assert (cursor["cursor_time"], cursor["cursor_id"], cursor["window_end"]) == (t0 - timedelta(minutes=5), 10, t0)
+    assert loops.poll(s, source, "a", "updated_at", "id", 1, t0, t0, 3) == 1
+    assert s.read("cursors").first()["cursor_id"] is None and s.read("tasks").count() == 4
+    content_ = spark.createDataFrame([("a", str(k), f"text {k}", f"f{k}") for k in (1, 3, 10)], "entity string, source_id string, content string, fingerprint string")
+    loops.claim(s, F.lit(t0), 10, "t")
+    embed = lambda df: df.select("id", F.array(F.length("content").cast("double")).alias("vector"))
+    got = loops.work(s, content_, embed, F.lit(t0 + timedelta(seconds=1)), "t")
+    assert got == {"upsert": 2, "unchanged": 1, "delete": 1, "embedded": 2}
+    assert s.read("tasks").where("status = 'done' and lease_token is null and processed_generation = generation").count() == 4
+    assert {r["source_id"]: r["embedding"] for r in s.read("vectors").collect()} == {"1": [6.0], "3": [0.5], "10": [7.0]}
+    assert loops.work(s, content_, embed, F.lit(t0 + timedelta(seconds=2)), "t") == {"embedded": 0}
+
+
+def test_search_is_pinned_to_a_revision():
+    seen = iter([1, 2, 2, 2])
+    assert hybrid.pinned(lambda r: [r], lambda: next(seen)) == [2]
+    with pytest.raises(LookupError):
+        hybrid.pinned(lambda r: [], lambda: None)
+    turn = iter(range(99))
+    with pytest.raises(RuntimeError):
+        hybrid.pinned(lambda r: [], lambda: next(turn))
