@@ -15,9 +15,10 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, texts
+from .common import append_columns, col, texts
 
 #: The base patterns, in the order in which kinds are listed, with the group whose length counts and its least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -96,6 +97,20 @@ class Markov:
         return float(self.ratio[[len(ALPHABET), *k[:-1]], k].mean()) if k else 0.0
 
 
+#: Labelled strings to learn from, at most.
+TRAIN_ROWS = 50_000
+
+
+def train(sample: DataFrame, text: str = "text", label: str = "label", rows: int = TRAIN_ROWS) -> Markov:
+    """The models of a table of labelled strings: 1 is a random string, 0 an ordinary one; rows with a null are left out.
+
+    At most ``rows`` strings are read, chosen by a hash; none give models that tell nothing apart.
+    """
+    known = sample.select(col(text).alias("text"), col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)")
+    chosen = known.orderBy(F.xxhash64("text", F.lit(8)), "text", "label").limit(rows).collect()
+    return Markov((r["text"], r["label"]) for r in chosen)
+
+
 def spans(text: str, model: Markov, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """(start, kind as a number, end) in order, code points, end exclusive."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -121,8 +136,9 @@ def written(found: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, model: Markov | None = None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add n_assign, n_access, n_hex, base_sha256 and spans to ``docs``; they replace columns of those names.
 
-    Null counts as empty, which has no spans: counts 0 and the digest of the empty text.  Rows are judged one by one, so
-    repeated rows get equal results and an empty table gives no rows.
+    ``model``: from ``train``; without one, the built-in labelled sample.  Null counts as empty, which has no spans: counts 0
+    and the digest of the empty text.  Rows are judged one by one, so repeated rows get equal results and an empty table gives
+    no rows.  Very long texts are searched whole.  Spans that begin at one place are in the order of kinds.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or Markov(labelled_sample()))
 
