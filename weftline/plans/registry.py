@@ -571,8 +571,8 @@ def bm25_indexed_topk(spark, sf):
     return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("""select id, round(coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0), 9) as score from (select event_id as id, row_number() over (order by value desc, event_id) as l from events where event_type = 'click') full join
-  (select event_id as id, row_number() over (order by value, event_id) as s from events where user_id % 2 = 0) using (id) order by coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0) desc, id limit 5""")
+@query("""select id, round(coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0), 9) as score from (select event_id as id, row_number() over (order by value desc, event_id) as l from events where event_type = 'click' qualify l <= 1000) full join
+  (select event_id as id, row_number() over (order by value, event_id) as s from events where user_id % 2 = 0 qualify s <= 1000) using (id) order by coalesce(0.5 / (60 + l), 0) + coalesce(0.5 / (60 + s), 0) desc, id limit 5""")
 def rrf_fusion(spark, sf):
     """Two lists of candidates, of which only the first ones can reach the results."""
     e = fx.read(spark, sf, "events").withColumnRenamed("event_id", "id")
