@@ -484,6 +484,24 @@ def test_line_dedup_of_unbroken_lines_other_scripts_and_odd_ends(spark):
     assert [bool(r["text"]) for r in line_dedup.dedup_lines(far).orderBy("doc_id").collect()] == [True, False] * 2
 
 
+def test_parity_bits_exclude_no_pair_that_is_similar_enough(spark):
+    rng = random.Random(5)
+    lines = ["", "ab", "aaaaaaaaaaaa", "aaaaaaaaaaaaaaaa", "\u6f22\u5b57" * 40, "xyz" * 900]
+    for _ in range(12):
+        line = [rng.choice("abcde ") for _ in range(rng.choice([6, 30, 300, 1500]))]
+        lines.append("".join(line))
+        for _ in range(5):
+            for _ in range(max(1, len(line) // rng.choice([20, 40, 60, 200]))):
+                line[rng.randrange(len(line))] = rng.choice("abcde ")
+            lines.append("".join(line))
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines))]
+    alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    found = {(r.a, r.b) for r in line_dedup.possible(spark.createDataFrame(pairs, "a long, b long"), texts).collect()}
+    assert alike and alike <= found and len(found) < len(pairs) / 4
+
+
 def test_secrets_learn_from_a_labelled_table(spark):
     rnd = random.Random(14)
     rows = [("".join(rnd.choices("xyz", k=24)), 1) for _ in range(200)] + [("".join(rnd.choices("pqr", k=24)), 0) for _ in range(200)] + [(None, 1), ("x", None)]
