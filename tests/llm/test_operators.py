@@ -430,8 +430,9 @@ def test_line_dedup_of_large_bands_finds_the_components_of_brute_force(spark, mo
             if both >= 0.8 * (len(a) + len(sets[j]) - both):
                 pairs.append((i, j))
     want = set(union_find(pairs, range(len(lines))).values())
-    for whole in (line_dedup.WHOLE, 10):  # whole bands, and bands split by further minima
+    for whole, depth in ((line_dedup.WHOLE, 2), (10, 2), (2, 3)):  # whole bands, and bands dealt by the shingles of their lines
         monkeypatch.setattr(line_dedup, "WHOLE", whole)
+        monkeypatch.setattr(line_dedup, "DEPTH", depth)
         assert {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"]} == want
 
 
@@ -508,3 +509,32 @@ def test_secrets_learn_from_a_labelled_table(spark):
     model = secrets.train(spark.createDataFrame(rows, "text string, label int"))
     assert secrets.spans("xyzzyxxyzzyxyzzyxyzx pqrrqppqrrqppqrrqppq", model) == [(0, 3, 20)]
     assert secrets.train(spark.createDataFrame([], "text string, label int")).score("abc") == 0.0
+
+
+def test_line_dedup_deals_lines_of_one_template_without_losing_a_pair(spark):
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghijklmnop ") for _ in range(90)]
+    lines = []
+    for _ in range(120):
+        line = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            line[rng.randrange(len(line))] = rng.choice("xyz123")
+        lines.append("".join(line))
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = line_dedup._ordered(texts, 0.8).cache()
+    shingles = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    near = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])}
+    assert near
+    held = sets.select(F.lit(0).cast("long").alias("key"), "id", F.lit(-1).alias("at"))
+    none = spark.createDataFrame([], "node long, root long")
+    for depth in range(3):
+        held = line_dedup._deal(held, sets, depth)
+        parts = line_dedup._open(held, none).join(sets.select("id", "size", *line_dedup.WORDS), "id")
+        pairs = line_dedup._across(parts, ["size", *line_dedup.WORDS], line_dedup._may("a.", "b.", 0.8)).collect()
+        assert near <= {(r.a, r.b) for r in pairs} and len(pairs) == len(set(pairs)) and all(r.a < r.b for r in pairs)
+    # With components known, a pair inside one is not compared and each pair across them still is.
+    roots = spark.createDataFrame([(i, i % 2) for i in range(2, 60)], "node long, root long")
+    root = {**{i: i for i in range(120)}, **{i: i % 2 for i in range(2, 60)}}
+    parts = line_dedup._open(sets.select(F.lit(1).alias("key"), "id"), roots).join(sets.select("id", "size", *line_dedup.WORDS), "id")
+    pairs = [(r.a, r.b) for r in line_dedup._across(parts, ["size"], F.lit(True)).collect()]
+    assert sorted(pairs) == [(a, b) for a in range(120) for b in range(a + 1, 120) if root[a] != root[b]]
