@@ -499,7 +499,13 @@ def test_parity_bits_exclude_no_pair_that_is_similar_enough(spark):
     pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines))]
     alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    found = {(r.a, r.b) for r in line_dedup.possible(spark.createDataFrame(pairs, "a long, b long"), texts).collect()}
+    sets = line_dedup._parities(texts.select("id", line_dedup.shingles("line").alias("xs")))
+
+    def may(pairs):
+        ends = [sets.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("size", *line_dedup.WORDS)]) for x in "ab"]
+        return pairs.join(ends[0], "a").join(ends[1], "b").where(line_dedup._may("a", "b", line_dedup.SIMILARITY)).select("a", "b").collect()
+
+    found = {(r.a, r.b) for r in may(spark.createDataFrame(pairs, "a long, b long"))}
     assert alike and alike <= found and len(found) < len(pairs) / 4
 
 
@@ -522,6 +528,7 @@ def test_line_dedup_deals_lines_of_one_template_without_losing_a_pair(spark):
         lines.append("".join(line))
     texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
     sets = line_dedup._ordered(texts, 0.8).cache()
+    parities = line_dedup._parities(texts.select("id", line_dedup.shingles("line").alias("xs"))).cache()
     shingles = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
     near = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])}
     assert near
@@ -529,12 +536,12 @@ def test_line_dedup_deals_lines_of_one_template_without_losing_a_pair(spark):
     none = spark.createDataFrame([], "node long, root long")
     for depth in range(3):
         held = line_dedup._deal(held, sets, depth)
-        parts = line_dedup._open(held, none).join(sets.select("id", "size", *line_dedup.WORDS), "id")
-        pairs = line_dedup._across(parts, ["size", *line_dedup.WORDS], line_dedup._may("a.", "b.", 0.8)).collect()
+        pairs = line_dedup._across(line_dedup._open(held, none).join(parities, "id"), 0.8).collect()
         assert near <= {(r.a, r.b) for r in pairs} and len(pairs) == len(set(pairs)) and all(r.a < r.b for r in pairs)
     # With components known, a pair inside one is not compared and each pair across them still is.
     roots = spark.createDataFrame([(i, i % 2) for i in range(2, 60)], "node long, root long")
     root = {**{i: i for i in range(120)}, **{i: i % 2 for i in range(2, 60)}}
-    parts = line_dedup._open(sets.select(F.lit(1).alias("key"), "id"), roots).join(sets.select("id", "size", *line_dedup.WORDS), "id")
-    pairs = [(r.a, r.b) for r in line_dedup._across(parts, ["size"], F.lit(True)).collect()]
+    parts = line_dedup._open(sets.select(F.lit(1).alias("key"), "id"), roots).join(parities, "id")
+    # At similarity 0 none is excluded by its parities.
+    pairs = [(r.a, r.b) for r in line_dedup._across(parts, 0.0).collect()]
     assert sorted(pairs) == [(a, b) for a in range(120) for b in range(a + 1, 120) if root[a] != root[b]]
