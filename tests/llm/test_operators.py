@@ -545,3 +545,33 @@ def test_line_dedup_deals_lines_of_one_template_without_losing_a_pair(spark):
     # At similarity 0 none is excluded by its parities.
     pairs = [(r.a, r.b) for r in line_dedup._across(parts, 0.0).collect()]
     assert sorted(pairs) == [(a, b) for a in range(120) for b in range(a + 1, 120) if root[a] != root[b]]
+
+
+def test_line_dedup_makes_a_pair_of_a_large_group_once_and_none_that_has_met(spark):
+    # 60 lines alike in 40 keys: each pair is joined in one of them.
+    shared = spark.range(60).select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("key"), "id")
+    texts = spark.range(60).select("id", F.concat(F.lit("one line of many that are near copies of one another, number "), "id").alias("line"))
+    parities = line_dedup._parities(texts.select("id", line_dedup.shingles("line").alias("xs")))
+    none = spark.createDataFrame([], "node long, root long")
+    across = lambda rows, roots: line_dedup._across(line_dedup._open(rows, roots).join(parities, "id"), 0.0)
+    pairs = across(shared, none)
+    assert pairs.count() == 60 * 59 // 2
+    joined = pairs._jdf.queryExecution().optimizedPlan().children().apply(0)  # below the distinct
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, joined).count() == 60 * 59 // 2
+    # No pair is lost where the keys that both lines list have none in common.
+    far = spark.range(60).select(F.explode(F.sequence(100 * F.col("id") + 100, 100 * F.col("id") + 139)).alias("key"), "id")
+    far = far.unionByName(spark.range(60).select(F.lit(1 << 40).alias("key"), "id"))
+    assert across(far, none).count() == 60 * 59 // 2
+    # Lines that met in one line are joined no more.
+    stars = line_dedup._stars(line_dedup._open(shared, none).join(parities, "id"), 0.0)
+    assert stars.count() <= 59 and across(shared, components.components(stars)).count() == 0
+
+
+@pytest.mark.parametrize("few", (0, 100_000))
+def test_components_of_few_links_and_of_many_are_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rnd = random.Random(17)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(150)] + [(5, 5), (7, 3), (3, 7)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    assert got == union_find([p for p in pairs if p[0] != p[1]], nodes)
