@@ -575,3 +575,23 @@ def test_components_of_few_links_and_of_many_are_the_same(spark, monkeypatch, fe
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
     assert got == union_find([p for p in pairs if p[0] != p[1]], nodes)
+
+
+def test_line_dedup_meets_the_bands_of_one_ring_at_a_time_and_loses_none(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.choice([5, 20, 60]))) for _ in range(12)]
+    lines += [x[:-1] + "z" for x in lines]
+    rows = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "home long, place long, line string")
+    signs = line_dedup.signed(rows).select(F.col("home").alias("id"), "kind", *line_dedup.MINIMA).cache()
+    rings = [signs.select(F.explode(keys).alias("key"), "id") for keys in line_dedup._keys()]
+    of = [{(r.key, r.id) for r in ring.collect()} for ring in rings]
+    # A task's table of keys holds at most so many of a signature; no key is in two rings.
+    assert len(of) == len(line_dedup.SHIFTS) and all(ring.count() == line_dedup.ORDERS * signs.count() for ring in rings)
+    assert len({k for ring in of for k, _ in ring}) == sum(len({k for k, _ in ring}) for ring in of)
+    bands = {}
+    for f, row in [(i, r) for r in signs.collect() for i in range(line_dedup.ORDERS)]:
+        for d, e in line_dedup.SHIFTS:
+            at = (f, (f + d) % line_dedup.ORDERS, (f + e) % line_dedup.ORDERS)
+            bands.setdefault((at, row.kind, *[row[f"m{k}_{i}"] for k, i in enumerate(at)]), set()).add(row.id)
+    want = sorted((min(x), max(x)) for x in bands.values() if len(x) > 1)
+    assert want and sorted((r.a, r.b) for ring in rings for r in line_dedup._pivots(ring).collect()) == want
